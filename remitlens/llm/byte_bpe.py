@@ -248,3 +248,16 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text")
                 )
 
     return df.mapInArrow(run, schema)
+
+
+def encode_packed(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``df`` with ``n_tokens``, ``ids`` (little-endian unsigned 32-bit integers) and ``round_trips``: they decode to the text's bytes."""
+
+    def make(batch):
+        encoder, decoder = codec(ranks_path, pattern)
+        for piece, texts in pieces(batch, text):
+            found = encoder.encode(texts)
+            same = [decoder.decode(x) == t.encode() for x, t in zip(found, texts, strict=True)]
+            yield piece, [pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary()), pa.array(same, pa.bool_())]
+
+    return with_columns_from(df, "n_tokens long, ids binary, round_trips boolean", make)

@@ -4,11 +4,20 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from remitlens.llm import byte_bpe, records
+from remitlens.llm import byte_bpe, mixing, quality_crf, records, simhash_dedup
 from remitlens.llm.common import new_folder, table
 
 
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every whole text; the field learns from labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_crf.fit(docs.where(~quality_crf.held_out()), table(spark, sf_dir, "labels"))
+    scored = quality_crf.score(docs, model)
+    return scored.select("doc_id", quality_crf.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids and the end id, written as framed records in ascending doc_id order and read back."""
     folder = new_folder(spark, "token-records")
@@ -17,15 +26,29 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_checksums(spark, folder)
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles and the groups that links of two bits make."""
+    docs = table(spark, sf_dir, "documents")
+    return simhash_dedup.groups(simhash_dedup.fingerprints(docs, shingle=3, lanes=1), radius=2)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's ids and of the bytes that they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by sources' weights 1, 2, 3."""
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
+    "op2_quality_crf": op2_quality_crf,
     "op3_token_records": op3_token_records,
+    "op4_simhash_dedup": op4_simhash_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op9_mixing": op9_mixing,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
