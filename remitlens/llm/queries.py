@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitlens.llm import byte_bpe, mixing, quality_crf, records, simhash_dedup
+from remitlens.llm import byte_bpe, fingerprint, html_mincut, mixing, pivot_topk, quality_crf, records, simhash_dedup, warc
 from remitlens.llm.common import new_folder, table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edited text, and how alike they and the next document's are."""
+    return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every whole text; the field learns from labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,18 +43,39 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every twentieth vector with all others."""
+    return pivot_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back by splits of the archives."""
+    folder = new_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by sources' weights 1, 2, 3."""
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_mincut.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_quality_crf": op2_quality_crf,
     "op3_token_records": op3_token_records,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_topk": op7_topk,
+    "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
+    "op10_html_text": op10_html_text,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_topk": pivot_topk.ORACLE, "op8_warc": warc.ORACLE}
