@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitlens.llm import byte_bpe, fingerprint, html_mincut, mixing, pivot_topk, quality_crf, records, simhash_dedup, warc
+from remitlens.llm import byte_bpe, fingerprint, gru_lm, html_mincut, mixing, pivot_topk, quality_crf, records, simhash_dedup, warc
 from remitlens.llm.common import new_folder, table
 
 
@@ -37,6 +37,11 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.groups(simhash_dedup.fingerprints(docs, shingle=3, lanes=1), radius=2)
 
 
+def op5_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every whole text by single-word counts and by the network."""
+    return gru_lm.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's ids and of the bytes that they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -70,6 +75,7 @@ QUERIES = {
     "op2_quality_crf": op2_quality_crf,
     "op3_token_records": op3_token_records,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_gru_scores": op5_gru_scores,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_topk": op7_topk,
     "op8_warc": op8_warc,
