@@ -1 +1 @@
-
+"""DataFrame to DataFrame building blocks."""

@@ -1 +1 @@
-
+"""Incremental runs of the same queries."""

@@ -1,0 +1,58 @@
+import os
+import sys
+from pathlib import Path
+
+import pytest
+
+ROOT = str(Path(__file__).resolve().parent.parent)
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [os.environ.get("PYTHONPATH")])])
+os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    from pyspark.sql import SparkSession
+
+    conf = {
+        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.driver.memory": "4g",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+        "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+    }
+    session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def duck():
+    import duckdb
+
+    con = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    return con
+
+
+def bag(rows):
+    """Rows as a sorted list of tuples, floats rounded to nine places."""
+    plain = (tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows)
+    return sorted(plain, key=repr)
+
+
+def same_result(frame, duck, sql):
+    """Whether a DataFrame and DuckDB SQL give equal bags of rows, columns taken by name."""
+    names = sorted(frame.columns)
+    relation = duck.execute(sql)
+    found = [c[0] for c in relation.description]
+    assert sorted(found) == names
+    order = [found.index(n) for n in names]
+    expected = [tuple(r[i] for i in order) for r in relation.fetchall()]
+    return bag(tuple(r) for r in frame.select(*names).collect()) == bag(expected)
