@@ -175,7 +175,8 @@ def with_columns_from(df: DataFrame, added: str, make) -> DataFrame:
     """
     fields = T._parse_datatype_string(added).fields
     names = [f.name for f in fields]
-    kept = [f for f in df.schema.fields if f.name not in names]
+    taken = {n.lower() for n in names}
+    kept = [f for f in df.schema.fields if f.name.lower() not in taken]
 
     def run(batches):
         for batch in batches:
@@ -222,15 +223,10 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text")
 
     Encoding and decoding run in the same Python worker, so ids never cross to the JVM.
     """
-    schema = T.StructType(
-        [
-            *(f for f in df.schema.fields if f.name != text),
-            T.StructField("n_tokens", T.LongType()),
-            T.StructField("ids_sha256", T.StringType()),
-            T.StructField("decoded_sha256", T.StringType()),
-        ]
-    )
-    kept = [f.name for f in schema.fields[:-3]]
+    added = T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string").fields
+    gone = {text.lower(), *(f.name for f in added)}
+    schema = T.StructType([*(f for f in df.schema.fields if f.name.lower() not in gone), *added])
+    kept = schema.names[:-3]
 
     def run(batches):
         encoder, decoder = codec(ranks_path, pattern)

@@ -160,22 +160,19 @@ def _overlap(low: Column, high: Column) -> Column:
     return F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"))
 
 
+#: Names that the plan gives columns of its own; columns of documents so named are set aside meanwhile.
+OWN_NAMES = frozenset("size source_size target copies spans taken run bucket shard shards shard_size quota start end blocks first over".split())
+
+
 def apply(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
     """The mixed documents with the columns of ``docs``: whole copies, and excerpts of those at the edge of a taken run of blocks."""
-    mixed = plan(docs.withColumnsRenamed({c: f"in_{i}" for i, c in enumerate(docs.columns) if c in CLASHES}), weights, keep=_kept(docs))
+    aside = {c: f"__aside_{i}" if c.lower() in OWN_NAMES else c for i, c in enumerate(docs.columns)}
+    mixed = plan(docs.withColumnsRenamed(aside), weights, keep=list(aside.values()))
     whole = F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
-    runs = F.concat(F.array_repeat(whole, F.col("copies").cast("int")), F.col("spans"))
-    rows = mixed.withColumn("run", F.explode(runs))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), (F.col("run.start") + 1).cast("int"), (F.col("run.end") - F.col("run.start")).cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("run.end") - F.col("run.start") < F.col("size"), part).otherwise(F.col("text")))
+    rows = mixed.withColumn("run", F.explode(F.concat(F.array_repeat(whole, F.col("copies").cast("int")), F.col("spans"))))
+    length = F.col("run.end") - F.col("run.start")
+    part = F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), (F.col("run.start") + 1).cast("int"), length.cast("int"))
+    rows = rows.withColumn("text", F.when(length < F.col("size"), F.array_join(part, " ")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*(F.col(f"in_{i}" if c in CLASHES else c).alias(c) for i, c in enumerate(docs.columns)))
-
-
-#: Names that the plan gives columns of its own; columns of documents so named are set aside meanwhile.
-CLASHES = frozenset("size source_size target copies spans taken run bucket shard shards shard_size quota start end blocks first over".split())
-
-
-def _kept(docs: DataFrame) -> list[str]:
-    return [f"in_{i}" if c in CLASHES else c for i, c in enumerate(docs.columns)]
+    return rows.select(*(F.col(f"`{named}`").alias(c) for c, named in aside.items()))
