@@ -25,16 +25,16 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("long")
     names = F.array(*map(F.lit, FOREIGN))
-    foreign = F.element_at(names, (F.floor(F.col("event_id") / 4) % len(FOREIGN) + 1).cast("int"))
+    foreign = F.element_at(names, (F.expr("event_id div 4") % len(FOREIGN) + 1).cast("int"))
     formats = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])
     return events.select(
         F.col("event_id").alias("tx_id"),
         "ts",
         S.day_number(F.col("ts")).alias("tx_date"),
         (F.col("user_id") % 20).alias("from_bank"),
-        F.concat(F.lit("A"), F.floor(F.col("user_id") / 2).cast("string")).alias("from_account"),
+        F.concat(F.lit("A"), F.expr("user_id div 2").cast("string")).alias("from_account"),
         (k % 20).alias("to_bank"),
-        F.concat(F.lit("A"), F.floor(k / 2).cast("string")).alias("to_account"),
+        F.concat(F.lit("A"), F.expr("cast(get_json_object(props, '$.k') as long) div 2").cast("string")).alias("to_account"),
         F.col("value").alias("amount_paid"),
         F.when(F.col("event_id") % 4 != 0, F.lit(PARAMS.usd)).otherwise(foreign).alias("currency"),
         formats[F.col("event_type")].alias("payment_format"),
