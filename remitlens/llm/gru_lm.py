@@ -27,7 +27,7 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -38,14 +38,16 @@ from pyspark.sql import functions as F
 
 from remitlens.llm.common import ascii_lower, cut
 
-HEAD, HEAD_CLASS, TAIL_CLASSES, HIDDEN = 1024, 32, 32, 16
-COMMON, WORD_BYTES = 1 << 17, 64
-WARM_DOCS, WARM_CHARS = 600, 40_000
+HEAD, HEAD_CLASS, TAIL_CLASSES, HIDDEN = 1024, 64, 32, 16
+COMMON, WORD_BYTES, COUNT_BUCKETS = 1 << 17, 64, 8
+WARM_DOCS, WARM_CHARS, WARM_ROUNDS = 600, 40_000, 2
 #: Lanes and window of training on the driver, of training in tasks, of scoring.
-WARM_SHAPE, TASK_SHAPE, SCORE_SHAPE = (32, 16), (128, 32), (512, 64)
+WARM_SHAPE, TASK_SHAPE, SCORE_SHAPE = (32, 16), (256, 32), (512, 64)
 WARM_RATE, TASK_RATE, CLIP = 0.02, 0.004, 1.0
-#: Tokens that a worker gathers before it runs the network.
-BATCH_TOKENS = 1 << 19
+#: Tokens of a lane at least, in training, so that few documents still give many steps.
+LANE_TOKENS = 2048
+#: Tokens that a worker gathers before it runs the network; few, and a long document among them leaves most lanes idle.
+BATCH_TOKENS = 1 << 21
 #: Words that a worker counts before it hands on their counts.
 COUNTED_WORDS = 1 << 18
 END = ""
@@ -82,7 +84,7 @@ class Vocabulary:
 
     def symbols(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Indexes of the document's tokens and its end, -1 for words that are not common; their network symbols; the words that are not common."""
-        found = np.fromiter((self.index.get(t, -1) for t in tokens), np.int32, len(tokens))
+        found = np.fromiter(map(self.index.get, tokens, repeat(-1)), np.int32, len(tokens))
         rare = [tokens[i] for i in np.flatnonzero(found < 0).tolist()]
         found = np.append(found, np.int32(0))
         symbol = np.where(found < self.head, found, self.head - self.groups + self.of_word[found])
@@ -102,8 +104,8 @@ def initial(v: Vocabulary) -> dict[str, np.ndarray]:
     inside = np.full(v.groups * HEAD_CLASS, -30.0)
     inside[: v.head] = np.log(v.count[: v.head] + 0.5)
     return {
-        "into": draw(v.inputs, 3 * HIDDEN),
-        "state": draw(HIDDEN, 3 * HIDDEN),
+        "into": draw(3, v.inputs, HIDDEN),
+        "state": draw(3, HIDDEN, HIDDEN),
         "class": draw(HIDDEN, v.classes) * 0.1,
         "class_bias": np.log(mass / mass.sum()).astype(np.float32),
         "word": (draw(v.groups, HIDDEN, HEAD_CLASS) * 0.1),
@@ -132,71 +134,91 @@ def windows(docs: list[np.ndarray], start: int, shape: tuple[int, int]) -> Itera
     lanes = lanes_of(lengths, shape[0])
     at = np.concatenate([[0], np.cumsum(lengths)])
     loads = [sum(lengths[i] for i in lane) for lane in lanes]
-    rows = []
+    rows, first = [], np.array([start], np.int32)
     for lane in lanes:
-        inputs = np.concatenate([np.concatenate([[start], docs[i][:-1]]) for i in lane])
-        place = np.concatenate([np.arange(at[i], at[i + 1]) for i in lane])
-        rows.append((inputs.astype(np.int32), np.concatenate([docs[i] for i in lane]), inputs == start, place))
+        inputs = np.concatenate([x for i in lane for x in (first, docs[i][:-1])])
+        place = np.concatenate([np.arange(at[i], at[i + 1], dtype=np.int32) for i in lane])
+        rows.append((inputs.astype(np.int32, copy=False), np.concatenate([docs[i] for i in lane]), place))
     for t in range(0, loads[0] if loads else 0, shape[1]):
         live = sum(1 for x in loads if x > t)
         steps = min(shape[1], loads[0] - t)
-        made = [np.full((steps, live), fill, kind) for fill, kind in ((start, np.int32), (0, np.int32), (True, bool), (-1, np.int64))]
+        inputs, targets, place = (np.full((steps, live), fill, np.int32) for fill in (start, 0, -1))
         for k in range(live):
             n = min(steps, loads[k] - t)
-            for out, row in zip(made, rows[k], strict=True):
+            for out, row in zip((inputs, targets, place), rows[k], strict=True):
                 out[:n, k] = row[t : t + n]
-        yield tuple(made)
+        yield inputs, targets, inputs == start, place
 
 
 def forward(p: dict, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray):
-    """States after each step of a window, and what backpropagation needs of the steps."""
+    """States after each step of a window, and what backpropagation needs of the steps.
+
+    Parameters come in three: of the update gate, the reset gate and the candidate. The gathered
+    inputs are overwritten step by step with the gates' and the candidate's values.
+    """
     steps, live = inputs.shape
-    H = HIDDEN
-    states, kept = np.empty((steps, live, H), np.float32), []
-    into = p["into"][inputs]
+    gates, new = np.empty((steps, 2, live, HIDDEN), h.dtype), p["into"][2][inputs]
+    for k in (0, 1):
+        np.multiply(p["into"][k][inputs], 0.5, out=gates[:, k])  # a logistic curve is a tanh of half the argument
+    states, before, inner = (np.empty((steps, live, HIDDEN), h.dtype) for _ in range(3))
+    starts, to_gates, to_new = fresh.any(axis=1), p["state"][:2] * 0.5, p["state"][2]
     for t in range(steps):
-        h = h * ~fresh[t][:, None]
-        inner = h @ p["state"]
-        gates = 0.5 * np.tanh(0.5 * (into[t, :, : 2 * H] + inner[:, : 2 * H])) + 0.5
-        update, reset = gates[:, :H], gates[:, H:]
-        new = np.tanh(into[t, :, 2 * H :] + reset * inner[:, 2 * H :])
-        kept.append((h, update, reset, new, inner[:, 2 * H :]))
-        h = new + update * (h - new)
-        states[t] = h
-    return states, kept
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+        if starts[t]:
+            h = h * ~fresh[t][:, None]
+        before[t] = h
+        gate, candidate, state = gates[t], new[t], states[t]
+        gate += h @ to_gates
+        np.tanh(gate, out=gate)
+        gate *= 0.5
+        gate += 0.5
+        np.matmul(h, to_new, out=inner[t])
+        candidate += gate[1] * inner[t]
+        np.tanh(candidate, out=candidate)
+        np.subtract(h, candidate, out=state)
+        state *= gate[0]
+        state += candidate
+        h = state
+    return states, (before, inner, gates, new)
+
+
+def _exp(x: np.ndarray) -> np.ndarray:
+    """Exponentials in place, of at most 80, so sums stay finite."""
+    np.minimum(x, 80, out=x)
+    return np.exp(x, out=x)
 
 
 def output(p: dict, v: Vocabulary, states: np.ndarray, targets: np.ndarray, grads: dict | None = None):
     """Natural log probability of each target symbol; with ``grads`` also the gradient of its negative by the states."""
     tail = targets >= v.head
     group = np.where(tail, targets - v.head + v.groups, targets // HEAD_CLASS)
-    share = _softmax(states @ p["class"] + p["class_bias"])
     here = np.arange(len(targets))
-    log_p = np.log(share[here, group] + 1e-30)
+    share = states @ p["class"]
+    share += p["class_bias"]
+    log_p = share[here, group]
+    total = _exp(share).sum(axis=1)
+    log_p = log_p - np.log(total)
     back = None
     if grads is not None:
+        share /= total[:, None]
         share[here, group] -= 1
         grads["class"] += states.T @ share
         grads["class_bias"] += share.sum(axis=0)
         back = share @ p["class"].T
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group.astype(np.int16), kind="stable")
     edges = np.searchsorted(group[order], np.arange(v.groups + 1))
     for g in range(v.groups):
         rows = order[edges[g] : edges[g + 1]]
         if not len(rows):
             continue
         own = states[rows]
-        inside = _softmax(own @ p["word"][g] + p["word_bias"][g])
+        inside = own @ p["word"][g]
+        inside += p["word_bias"][g]
         chosen, n = targets[rows] - g * HEAD_CLASS, np.arange(len(rows))
-        log_p[rows] += np.log(inside[n, chosen] + 1e-30)
+        picked = inside[n, chosen]
+        total = _exp(inside).sum(axis=1)
+        log_p[rows] += picked - np.log(total)
         if grads is not None:
+            inside /= total[:, None]
             inside[n, chosen] -= 1
             grads["word"][g] += own.T @ inside
             grads["word_bias"][g] += inside.sum(axis=0)
@@ -204,27 +226,39 @@ def output(p: dict, v: Vocabulary, states: np.ndarray, targets: np.ndarray, grad
     return log_p, back
 
 
-def backward(p: dict, inputs: np.ndarray, fresh: np.ndarray, kept: list, back: np.ndarray, grads: dict) -> None:
+def backward(p: dict, inputs: np.ndarray, fresh: np.ndarray, kept: tuple, back: np.ndarray, grads: dict) -> None:
     """Adds to ``grads`` what the states' gradient gives through the steps of one window."""
-    steps, live = inputs.shape
-    H = HIDDEN
-    ahead = np.zeros((live, H), np.float32)
-    into = np.empty((steps, live, 3 * H), np.float32)
+    steps = len(inputs)
+    before, inner, gates, new = kept
+    update, reset = gates[:, 0], gates[:, 1]
+    by_new = (1 - update) * (1 - new * new)
+    by_gates = np.empty_like(gates)
+    np.multiply((before - new) * update, 1 - update, out=by_gates[:, 0])
+    np.multiply(inner * reset * (1 - reset), by_new, out=by_gates[:, 1])
+    d_new, d_inner = np.empty_like(inner), np.empty_like(inner)
+    ahead, starts = np.zeros_like(before[0]), fresh.any(axis=1)
+    turned = np.ascontiguousarray(p["state"].transpose(0, 2, 1))
     for t in range(steps - 1, -1, -1):
-        h, update, reset, new, inner = kept[t]
-        d = back[t] + ahead
-        d_new = d * (1 - update) * (1 - new * new)
-        into[t, :, :H] = d * (h - new) * update * (1 - update)
-        into[t, :, H : 2 * H] = d_new * inner * reset * (1 - reset)
-        into[t, :, 2 * H :] = d_new
-        d_inner = into[t].copy()
-        d_inner[:, 2 * H :] *= reset
-        grads["state"] += h.T @ d_inner
-        ahead = (d * update + d_inner @ p["state"].T) * ~fresh[t][:, None]
-    flat, rows = inputs.ravel(), into.reshape(-1, 3 * H)
-    order = np.argsort(flat, kind="stable")
+        d = back[t]
+        d += ahead
+        of_gates = by_gates[t]
+        of_gates *= d
+        np.multiply(d, by_new[t], out=d_new[t])
+        np.multiply(d_new[t], reset[t], out=d_inner[t])
+        ahead = d * update[t]
+        ahead += of_gates[0] @ turned[0]
+        ahead += of_gates[1] @ turned[1]
+        ahead += d_inner[t] @ turned[2]
+        if starts[t]:
+            ahead *= ~fresh[t][:, None]
+    H, flat = HIDDEN, inputs.ravel()
+    held = before.reshape(-1, H).T
+    order = np.argsort(flat.astype(np.int16), kind="stable")
     first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-    grads["into"][flat[order][first]] += np.add.reduceat(rows[order], first, axis=0)
+    symbols = flat[order][first]
+    for k, (of_state, of_input) in enumerate(((by_gates[:, 0], by_gates[:, 0]), (by_gates[:, 1], by_gates[:, 1]), (d_inner, d_new))):
+        grads["state"][k] += held @ of_state.reshape(-1, H)
+        grads["into"][k, symbols] += np.add.reduceat(of_input.reshape(-1, H)[order], first, axis=0)
 
 
 class Trainer:
@@ -237,7 +271,8 @@ class Trainer:
 
     def learn(self, docs: list[np.ndarray]) -> None:
         h = np.zeros((0, HIDDEN), np.float32)
-        for k, (inputs, targets, fresh, place) in enumerate(windows(docs, self.v.start, self.shape)):
+        lanes = min(self.shape[0], max(32, sum(map(len, docs)) // LANE_TOKENS))
+        for k, (inputs, targets, fresh, place) in enumerate(windows(docs, self.v.start, (lanes, self.shape[1]))):
             live = inputs.shape[1]
             h = np.zeros((live, HIDDEN), np.float32) if not k else h[:live]
             grads = {k: np.zeros_like(x) for k, x in self.p.items()}
@@ -312,10 +347,22 @@ def count_words(train: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The vocabulary of a table of counts; at most COMMON words come to the driver."""
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    common = counts.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(COMMON).toArrow().to_pylist()
-    common = [(r["word"], r["c"]) for r in common]
+    """The vocabulary of a table of counts.
+
+    Words are common from the least bucket of counts on that leaves at most COMMON of them, so only these
+    and a histogram of a few hundred buckets come to the driver, and nothing is sorted.
+    """
+    bucket = F.floor(F.log2("c") * COUNT_BUCKETS).cast("int")
+    short = F.octet_length("word") <= WORD_BYTES
+    held = counts.groupBy(bucket.alias("bucket")).agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(short).alias("short")).collect()
+    n_tokens, n_distinct, left, least = sum(r["n"] for r in held), sum(r["v"] for r in held), COMMON, 1 << 20
+    for r in sorted(held, key=lambda r: -r["bucket"]):
+        left -= r["short"]
+        if left < 0:
+            break
+        least = r["bucket"]
+    common = counts.where(short & (bucket >= least)).toArrow().to_pylist()
+    common = sorted(((r["word"], r["c"]) for r in common), key=lambda x: (-x[1], x[0]))
     head = [w for w, _ in common if w != END][: HEAD - 1]
     last = F.crc32(F.substring(F.col("word").cast("binary"), -2, 2)) % TAIL_CLASSES
     mass = counts.where(F.col("word") != END).groupBy(last.alias("k")).agg(F.sum(F.col("c") + 0.5).alias("m")).collect()
@@ -325,7 +372,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     known = dict(common)
     for w in head:
         tail_mass[tail_class(w.encode())] -= known[w] + 0.5
-    return Vocabulary(common, total["n"], total["v"], [max(0.0, m) for m in tail_mass])
+    return Vocabulary(common, n_tokens, n_distinct, [max(0.0, m) for m in tail_mass])
 
 
 def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
@@ -336,7 +383,9 @@ def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
     sample = short.orderBy(order, "doc_id", F.xxhash64("text")).limit(WARM_DOCS).select("text").toArrow()["text"].to_pylist()
     warm = Trainer(initial(v), v, WARM_SHAPE, WARM_RATE)
     if sample:
-        warm.learn([v.symbols(split(t))[1] for t in sample])
+        symbols = [v.symbols(split(t))[1] for t in sample]
+        for _ in range(WARM_ROUNDS):
+            warm.learn(symbols)
     names, shared = sorted(warm.p), spark.sparkContext.broadcast((warm.p, v))
     shapes = {k: warm.p[k].shape for k in names}
 
