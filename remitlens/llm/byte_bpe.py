@@ -15,10 +15,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
+from itertools import chain, groupby, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -95,13 +97,20 @@ class WordEncoder:
     """Texts to ids with one tokenizer; ids come as little-endian unsigned 32-bit integers."""
 
     def __init__(self, tokenizer, pattern: str):
-        self.tokenizer, self.split = tokenizer, narrow_pattern(pattern).findall
+        self.tokenizer, self.model, self.split = tokenizer, tokenizer.model, narrow_pattern(pattern).findall
+        self.shown = dict(enumerate(byte_chars()))
         self.wide = re.compile(f"[^\\u0000-\\u{CACHED_BELOW - 1:04x}]").search
         self.known: dict[str, bytes] = {}
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def _whole(self, text: str) -> bytes:
+        """Ids of a text by the library's own splitting."""
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return struct.pack(f"<{len(found)}I", *found.ids)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one match of the pattern by the library's model alone."""
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, start = [], 0
@@ -115,13 +124,20 @@ class WordEncoder:
         return out
 
     def _chunk(self, texts: list[str]) -> list[bytes]:
-        parts = [None if self.wide(t) else self.split(t) for t in texts]
+        parts = [() if self.wide(t) else self.split(t) for t in texts]
+        words = list(chain.from_iterable(parts))
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list(set().union(*(p for p in parts if p)) - self.known.keys())
-        self.known.update(zip(new, self._library(new), strict=True))
-        at = self.known.__getitem__
-        return [self._library([t])[0] if p is None else b"".join(map(at, p)) for t, p in zip(texts, parts, strict=True)]
+        ids = list(map(self.known.get, words))
+        missing = [i for i, x in enumerate(map(is_, ids, repeat(None))) if x] if None in ids else []
+        self.known.update((w, self._word(w)) for w in {words[i] for i in missing})
+        for i in missing:
+            ids[i] = self.known[words[i]]
+        out, at = [], 0
+        for text, part in zip(texts, parts, strict=True):
+            out.append(b"".join(ids[at : at + len(part)]) if part or not text else self._whole(text))
+            at += len(part)
+        return out
 
 
 class Decoder:
