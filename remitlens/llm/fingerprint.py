@@ -161,7 +161,7 @@ def edited_likeness(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = simhash(rows, [*keys, "kind"], "of")
     one = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("print")))
     found = cut(found.groupBy(*keys).agg(one(0).alias("print"), one(1).alias("edited_print")))
-    around = near(found, found, radius).groupBy(F.col("query").alias("print")).agg(F.count("*").alias("n_near"))
+    around = cut(near(found, found, radius).groupBy(F.col("query").alias("print")).agg(F.count("*").alias("n_near")))  # so that the join can split copies' rows
     following = found.select(F.col("row").alias("next_row"), F.col("print").alias("next_print"))
     made = found.join(following, "next_row").join(around, "print", "left")
     return made.select(
