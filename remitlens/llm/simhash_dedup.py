@@ -254,7 +254,7 @@ def groups(prints: DataFrame, radius: int, similarity: float = 0.0) -> DataFrame
     reps = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n_shingles")))
     labels = components(links(reps, radius, similarity)).select(F.col("node").alias("fingerprint"), "component")
     named = cut(reps.join(labels, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint")))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    least = cut(named.groupBy("component").agg(F.min("first_id").alias("component_id")))  # else a large component's rows meet in one task of the join
     named = named.join(least, "component").select("fingerprint", "component_id")
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
