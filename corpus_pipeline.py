@@ -15,8 +15,9 @@ from remitlens.llm import byte_bpe, mixing, quality_crf, simhash_dedup
 from remitlens.llm.common import new_folder, table
 
 #: Near-duplicates share four fifths or more of their five-word shingles. Of 256 fingerprint bits, such texts
-#: differ in about 39 (the angle of a cosine of 8/9), with a standard deviation of 6; the radius leaves that margin.
-SHINGLE, LANES, SIMILARITY, RADIUS = 5, 4, 0.8, 44
+#: differ in about 39 (the angle of a cosine of 8/9; up to 48 if they have a handful of shingles), with a standard
+#: deviation of 6; the radius leaves over three of them, and the shingles themselves decide among the candidates.
+SHINGLE, LANES, SIMILARITY, RADIUS = 5, 4, 0.8, 70
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near-duplicates."""
     prints = simhash_dedup.fingerprints(docs, shingle=SHINGLE, lanes=LANES)
-    return simhash_dedup.keep_one(docs, simhash_dedup.groups(prints, RADIUS, SIMILARITY))
+    return simhash_dedup.keep_one(docs, simhash_dedup.similar_groups(prints, docs, RADIUS, SIMILARITY, SHINGLE))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,11 @@ family of thousands of like texts costs as many rows as it has members and no
 link between two groups is lost. Where ``similarity`` is given, tiles are ordered
 by number of shingles instead, and pairs whose numbers alone exclude it are skipped.
 
+``similar_groups`` takes such links, of a wide radius, as candidates only: distinct texts of
+a candidate component are linked where their sets of shingles (of 64-bit hashes) have the
+similarity, intersection over union, and components are made of these links. A candidate
+component of more than ``VERIFY_ROWS`` texts is compared in pairs of parts.
+
 Null texts are empty. A text without words has fingerprint zero, linked like any
 other. Rows with a null doc_id are grouped, and a group of such rows alone has a
 null component_id. Repeated rows give repeated results; an empty table gives none.
@@ -26,10 +31,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from remitlens.llm.common import cut, words
+from remitlens.llm.common import cut, text_or_empty, words
 from remitlens.llm.components import components
 
 SEED = 42
@@ -39,6 +44,8 @@ CHUNK, BLOCK = 1 << 14, 512
 TILES, TILE_ROWS = 48, (1 << 13, 1 << 20)
 #: Links that a task holds before it reduces them to a forest.
 HELD_LINKS = 1 << 20
+#: Texts of a candidate component that are compared exactly with as many others in a task.
+VERIFY_ROWS = 1 << 11
 
 
 def shingle_hashes(tokens: list[bytes], size: int, hasher) -> np.ndarray:
@@ -75,23 +82,30 @@ def simhash(hashes: np.ndarray, lanes: int) -> np.ndarray:
     return out
 
 
+def text_key(text: str = "text") -> Column:
+    """What tells texts apart."""
+    return F.md5(text_or_empty(text).cast("binary"))
+
+
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, lanes: int = 1) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 lowercase hex digits a lane) and ``n_shingles`` of every row."""
+    """``doc_id``, ``text_key``, ``fingerprint`` (16 lowercase hex digits a lane) and ``n_shingles`` of every row."""
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
         for batch in batches:
             found, counts = [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 hashes = shingle_hashes(words(t.as_py()), shingle, xxh64_intdigest)
                 found.append("".join(f"{x:016x}" for x in simhash(hashes, lanes).tolist()))
                 counts.append(len(hashes))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(found, pa.string()), pa.array(counts, pa.int64())], names=["doc_id", "fingerprint", "n_shingles"]
+                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(found, pa.string()), pa.array(counts, pa.int64())],
+                names=["doc_id", "text_key", "fingerprint", "n_shingles"],
             )
 
-    return df.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, fingerprint string, n_shingles long")
+    rows = df.select(F.col(doc_id).cast("long"), text_key(text), F.col(text))
+    return rows.mapInArrow(run, "doc_id long, text_key string, fingerprint string, n_shingles long")
 
 
 def _unhex(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -252,11 +266,96 @@ def groups(prints: DataFrame, radius: int, similarity: float = 0.0) -> DataFrame
     """``doc_id``, ``fingerprint``, ``component_id``: the smallest doc_id that links of ``radius`` reach, itself included."""
     prints = cut(prints)
     reps = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n_shingles")))
-    labels = components(links(reps, radius, similarity)).select(F.col("node").alias("fingerprint"), "component")
-    named = cut(reps.join(labels, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint")))
+    return _named(prints, reps, components(links(reps, radius, similarity)), "fingerprint")
+
+
+def _named(prints: DataFrame, reps: DataFrame, labels: DataFrame, node: str) -> DataFrame:
+    """The documents with the smallest doc_id of their component of ``labels`` of nodes; ``reps`` has every node's ``first_id``."""
+    labels = labels.select(F.col("node").alias(node), "component")
+    named = cut(reps.join(labels, node, "left").withColumn("component", F.coalesce("component", node)))
     least = cut(named.groupBy("component").agg(F.min("first_id").alias("component_id")))  # else a large component's rows meet in one task of the join
-    named = named.join(least, "component").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = named.join(least, "component").select(node, "component_id")
+    return prints.join(named, node).select("doc_id", "fingerprint", "component_id")
+
+
+def similar_pairs(sets: list[np.ndarray], part: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what pairs of sets of the similarity connect: between two parts, or within one if ``part`` is constant."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    starts = np.cumsum(sizes) - sizes
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    root, held, both = np.arange(len(sets)), np.zeros(ids.max() + 1, bool), bool((part != part[0]).any())
+    found = []
+    for a in range(len(sets) - 1):
+        others = root[a + 1 :] != root[a]
+        others &= np.minimum(sizes[a + 1 :], sizes[a]) >= similarity * np.maximum(sizes[a + 1 :], sizes[a])
+        if both:
+            others &= part[a + 1 :] != part[a]
+        others = np.flatnonzero(others) + a + 1
+        if not len(others):
+            continue
+        own = ids[starts[a] : starts[a] + sizes[a]]
+        held[own] = True
+        ends = np.cumsum(sizes[others])
+        at = np.arange(ends[-1]) + np.repeat(starts[others] - ends + sizes[others], sizes[others])
+        common = np.add.reduceat(held[ids[at]], ends - sizes[others], dtype=np.int64)
+        held[own] = False
+        for b in others[common / (sizes[a] + sizes[others] - common) >= similarity].tolist():
+            if root[a] != root[b]:
+                root[root == root[b]] = root[a]
+                found.append((a, b))
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return a, b
+
+
+def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """``rows`` with ``shingles`` in place of their text: the distinct hashes as bytes, a single zero for a text without words."""
+
+    def run(batches):
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            at = batch.schema.names.index("text")
+            sets = (np.unique(shingle_hashes(words(t.as_py()), shingle, xxh64_intdigest)) for t in batch.column(at))
+            found = pa.array([(s if len(s) else np.zeros(1, np.uint64)).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), found], names=[*(n for n in batch.schema.names if n != "text"), "shingles"])
+
+    kept = [f for f in rows.schema if f.name != "text"]
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", shingles binary")
+
+
+def _first_rows(df: DataFrame, chosen: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row of ``df`` for each of ``chosen`` (``doc_id``, ``text_key``, others), whose other columns it gets."""
+    own = lambda i, key: F.concat_ws(":", key, i.cast("long").cast("string"))
+    more = [F.col(c).alias(f"__{c}") for c in chosen.columns if c != "doc_id"]
+    chosen = chosen.select(own(F.col("doc_id"), F.col("text_key")).alias("__row"), *more)
+    first = Window.partitionBy("__row").orderBy(*(F.col(f"`{c}`") for c, kind in df.dtypes if kind not in ("map", "variant")))
+    rows = df.withColumn("__row", own(F.col(f"`{doc_id}`"), text_key(text))).join(chosen, "__row")
+    return rows.withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
+
+
+def similar_groups(prints: DataFrame, df: DataFrame, radius: int, similarity: float, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``groups``, of links between texts of ``df`` whose sets of shingles have the similarity; ``radius`` finds candidates for them alone."""
+    prints = cut(prints)
+    reps = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n_shingles")))
+    labels = components(links(reps, radius, similarity)).select(F.col("node").alias("fingerprint"), "component")
+    texts = cut(prints.groupBy("text_key").agg(F.min("fingerprint").alias("fingerprint"), F.min("doc_id").alias("first_id")))
+    texts_of = texts.join(labels, "fingerprint", "left").withColumn("candidate", F.coalesce("component", "fingerprint"))
+    members = cut(texts_of.groupBy("candidate").agg(F.count("*").alias("n")).where("n > 1"))
+    parts = F.ceil(F.col("n") / VERIFY_ROWS).cast("int")
+    chosen = texts_of.join(members, "candidate").select(F.col("first_id").alias("doc_id"), "text_key", "candidate", parts.alias("parts"))
+    rows = _first_rows(df.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`").alias("text")), cut(chosen), doc_id, "text")
+    sets = _shingle_sets(rows.select(F.col("__text_key").alias("text_key"), F.col("__candidate").alias("candidate"), F.col("__parts").alias("parts"), "text"), shingle)
+    sets = sets.withColumn("part", F.pmod(F.xxhash64("text_key"), F.col("parts")).cast("int"))
+    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sets = sets.select("candidate", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "text_key", "shingles")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("text_key")
+        a, b = similar_pairs([np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()], np.array(group["part"]), similarity)
+        return pa.table({n: group["text_key"].take(pa.array(x)).cast(pa.string()) for n, x in (("a", a), ("b", b))})
+
+    verified = components(sets.groupBy("candidate", "low", "high").applyInArrow(compare, "a string, b string"))
+    return _named(prints, texts, verified, "text_key")
 
 
 def keep_one(df: DataFrame, grouped: DataFrame, doc_id: str = "doc_id") -> DataFrame:

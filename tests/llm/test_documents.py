@@ -415,6 +415,44 @@ def test_near_duplicates_catch_near_copies_and_leave_the_rest(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(30))
 
 
+def similar_texts(rng, changed, union=400):
+    """Two texts without repeated words whose sets of five-word shingles have the similarity (union - 2 * changed) / union."""
+    words = [f"w{rng.getrandbits(60):x}" for _ in range(union - changed + 4)]
+    return " ".join(words), " ".join([*words[: len(words) - changed], *(f"c{rng.getrandbits(60):x}" for _ in range(changed))])
+
+
+def test_near_duplicates_are_decided_by_their_shingles(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "VERIFY_ROWS", 1)
+    rng = random.Random(6)
+    texts, linked = [], {}
+    for changed in (60, 50, 41, 40, 30):  # similarities 0.7, 0.75, 0.795, 0.8, 0.85
+        for _ in range(25):
+            linked[len(texts)] = changed <= 40
+            texts += similar_texts(rng, changed)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()}
+    assert kept == {i for i in range(len(texts)) if i % 2 == 0 or not linked[i - 1]}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_similar_pairs_against_brute_force(seed):
+    rng = random.Random(seed)
+    sets = [np.unique(np.array(rng.sample(range(14), rng.randint(1, 12)), np.uint64)) for _ in range(60)]
+    part = np.array([rng.randrange(2) if seed % 2 else 0 for _ in sets])
+    a, b = simhash_dedup.similar_pairs(sets, part, 0.8)
+    plain = [set(s.tolist()) for s in sets]
+    near = lambda i, j: len(plain[i] & plain[j]) / len(plain[i] | plain[j]) >= 0.8 and (part[i] != part[j] or not part.any())
+    assert all(near(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True))
+
+    def grouped(pairs):
+        label = list(range(60))
+        for i, j in pairs:
+            label = [label[i] if x == label[j] else x for x in label]
+        return {frozenset(k for k in range(60) if label[k] == x) for x in label}
+
+    assert grouped(zip(a.tolist(), b.tolist(), strict=True)) == grouped((i, j) for i in range(60) for j in range(i) if near(i, j))
+
+
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "mixture", "tokens"]
