@@ -34,7 +34,7 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles and the groups that links of two bits make."""
     docs = table(spark, sf_dir, "documents")
-    return simhash_dedup.groups(simhash_dedup.fingerprints(docs, shingle=3, lanes=1), radius=2)
+    return simhash_dedup.groups(simhash_dedup.fingerprints(docs, shingle=3, lanes=1).drop("text_key"), radius=2).drop("component")
 
 
 def op5_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

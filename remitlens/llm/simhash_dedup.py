@@ -23,6 +23,7 @@ component of more than ``VERIFY_ROWS`` texts is compared in pairs of parts.
 Null texts are empty. A text without words has fingerprint zero, linked like any
 other. Rows with a null doc_id are grouped, and a group of such rows alone has a
 null component_id. Repeated rows give repeated results; an empty table gives none.
+``keep_one`` keeps a row of every group, also of those of null or shared doc_ids.
 """
 
 from __future__ import annotations
@@ -263,7 +264,10 @@ def links(reps: DataFrame, radius: int, similarity: float = 0.0) -> DataFrame:
 
 
 def groups(prints: DataFrame, radius: int, similarity: float = 0.0) -> DataFrame:
-    """``doc_id``, ``fingerprint``, ``component_id``: the smallest doc_id that links of ``radius`` reach, itself included."""
+    """``doc_id``, ``fingerprint``, ``component_id``: the smallest doc_id that links of ``radius`` reach, itself included.
+
+    Also ``component``, which is never null, and ``text_key`` if the prints have it.
+    """
     prints = cut(prints)
     reps = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n_shingles")))
     return _named(prints, reps, components(links(reps, radius, similarity)), "fingerprint")
@@ -274,8 +278,9 @@ def _named(prints: DataFrame, reps: DataFrame, labels: DataFrame, node: str) ->
     labels = labels.select(F.col("node").alias(node), "component")
     named = cut(reps.join(labels, node, "left").withColumn("component", F.coalesce("component", node)))
     least = cut(named.groupBy("component").agg(F.min("first_id").alias("component_id")))  # else a large component's rows meet in one task of the join
-    named = named.join(least, "component").select(node, "component_id")
-    return prints.join(named, node).select("doc_id", "fingerprint", "component_id")
+    named = named.join(least, "component").select(node, "component", "component_id")
+    keys = [c for c in ("text_key",) if c in prints.columns]
+    return prints.join(named, node).select("doc_id", "fingerprint", "component_id", "component", *keys)
 
 
 def similar_pairs(sets: list[np.ndarray], part: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -358,9 +363,11 @@ def similar_groups(prints: DataFrame, df: DataFrame, radius: int, similarity: fl
     return _named(prints, texts, verified, "text_key")
 
 
-def keep_one(df: DataFrame, grouped: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` whose document names its group: one of each group. Of repeated rows of a doc_id one stays."""
-    kept = grouped.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    first = Window.partitionBy(doc_id).orderBy(*(c for c, kind in df.dtypes if kind not in ("map", "variant")))
-    rows = df.join(kept, doc_id, "left_semi").withColumn("__nth", F.row_number().over(first))
-    return rows.where("__nth = 1").select(*(F.col(f"`{c}`") for c in df.columns))
+def keep_one(df: DataFrame, grouped: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``df`` for each group: of its smallest doc_id, null only where no row has one.
+
+    Rows are told apart by doc_id and text, so a group keeps its row whatever ids are null or shared.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    chosen = grouped.groupBy("component").agg(first).select("first.doc_id", "first.text_key")
+    return _first_rows(df, chosen, doc_id, text).select(*(F.col(f"`{c}`") for c in df.columns))

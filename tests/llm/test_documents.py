@@ -161,6 +161,16 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in simhash_dedup.keep_one(docs, grouped).collect()) == [1, 3]
 
 
+def test_null_and_shared_ids_lose_no_text(spark):
+    far = "these are quite other words, of another document"
+    rows = [(None, "only null"), (None, "only null"), (None, "a third text of nobody"), (None, "both"), (4, "both"), (7, "first text of seven"), (7, far), (2, far), (9, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    expected = sorted([(-1, "only null"), (-1, "a third text of nobody"), (4, "both"), (7, "first text of seven"), (2, far), (9, "")])
+    by_bits = simhash_dedup.keep_one(docs, simhash_dedup.groups(simhash_dedup.fingerprints(docs), 2))
+    for kept in (by_bits, corpus_pipeline.near_duplicates(spark, docs, SMALL)):
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in kept.collect()) == expected
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     names = [f"n{i:03d}" for i in range(120)]
     order = names[:]
