@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near-duplicates."""
-    prints = simhash_dedup.fingerprints(docs, shingle=SHINGLE, lanes=LANES)
+    prints = simhash_dedup.fingerprints(docs, shingle=SHINGLE, lanes=LANES, distinct=True)
     return simhash_dedup.keep_one(docs, simhash_dedup.similar_groups(prints, docs, RADIUS, SIMILARITY, SHINGLE))
 
 

@@ -13,7 +13,8 @@ whole and by quarters, differ beyond the radius everywhere. Within a pair of til
 the links are reduced to a spanning forest before they leave the task, so a
 family of thousands of like texts costs as many rows as it has members and no
 link between two groups is lost. Where ``similarity`` is given, tiles are ordered
-by number of shingles instead, and pairs whose numbers alone exclude it are skipped.
+by number of shingles instead, and pairs whose numbers alone exclude it are skipped. The
+numbers bound the similarity of sets where repeats are not counted (``distinct``).
 
 ``similar_groups`` takes such links, of a wide radius, as candidates only: distinct texts of
 a candidate component are linked where their sets of shingles (of 64-bit hashes) have the
@@ -88,8 +89,8 @@ def text_key(text: str = "text") -> Column:
     return F.md5(text_or_empty(text).cast("binary"))
 
 
-def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, lanes: int = 1) -> DataFrame:
-    """``doc_id``, ``text_key``, ``fingerprint`` (16 lowercase hex digits a lane) and ``n_shingles`` of every row."""
+def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, lanes: int = 1, distinct: bool = False) -> DataFrame:
+    """``doc_id``, ``text_key``, ``fingerprint`` (16 lowercase hex digits a lane) and ``n_shingles`` of every row; ``distinct``: of shingles without their repeats."""
 
     def run(batches):
         from xxhash import xxh64_intdigest
@@ -98,6 +99,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
             found, counts = [], []
             for t in batch.column(2):
                 hashes = shingle_hashes(words(t.as_py()), shingle, xxh64_intdigest)
+                hashes = np.unique(hashes) if distinct else hashes
                 found.append("".join(f"{x:016x}" for x in simhash(hashes, lanes).tolist()))
                 counts.append(len(hashes))
             yield pa.RecordBatch.from_arrays(
@@ -134,7 +136,7 @@ def _with_order(reps: DataFrame, by_size: bool) -> DataFrame:
             pops = populations(prints)
             tail = (prints[:, 0] >> np.uint64(32)).astype(np.int64)
             if by_size:
-                key = (np.minimum(np.array(batch.column("n_shingles")), 2**30) << 32) | tail
+                key = (np.minimum(np.array(batch.column("least")), 2**30) << 32) | tail
             else:
                 key = pops[:, 0]
                 for i in range(1, 4):
@@ -144,8 +146,8 @@ def _with_order(reps: DataFrame, by_size: bool) -> DataFrame:
                 [*batch.columns, pa.array(pops[:, 0], pa.int64()), pa.array(key, pa.int64())], names=[*batch.schema.names, "population", "order_key"]
             )
 
-    schema = "fingerprint string, first_id long, n_shingles long, population long, order_key long"
-    return reps.select("fingerprint", "first_id", "n_shingles").mapInArrow(run, schema)
+    schema = "fingerprint string, first_id long, least long, most long, population long, order_key long"
+    return reps.select("fingerprint", "first_id", "least", "most").mapInArrow(run, schema)
 
 
 class Forest:
@@ -192,8 +194,12 @@ def _apart(low: np.ndarray, high: np.ndarray, i: int, radius: int) -> np.ndarray
     return (gap[:, 0] > radius) | (gap[:, 1:].sum(axis=1) > radius)
 
 
-def compare_tiles(prints: np.ndarray, sizes: np.ndarray, tile: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links between two tiles, or within one if ``tile`` is constant; rows come by tile."""
+def compare_tiles(prints: np.ndarray, sizes: np.ndarray, tile: np.ndarray, radius: int, similarity: float, largest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links between two tiles, or within one if ``tile`` is constant; rows come by tile.
+
+    Texts of a row have from ``sizes`` to ``largest`` shingles, exactly ``sizes`` if that is not given.
+    """
+    largest = sizes if largest is None else largest
     forest, lanes = Forest(len(prints)), prints.shape[1]
     pops = populations(prints)
     border = int(np.searchsorted(tile, tile[-1]))  # rows before it are of the first tile; 0: there is one tile
@@ -202,7 +208,7 @@ def compare_tiles(prints: np.ndarray, sizes: np.ndarray, tile: np.ndarray, radiu
     low = np.array([pops[a:b].min(axis=0) for a, b in zip(starts, ends, strict=True)])
     high = np.array([pops[a:b].max(axis=0) for a, b in zip(starts, ends, strict=True)])
     least = np.array([sizes[a:b].min() for a, b in zip(starts, ends, strict=True)])
-    most = np.array([sizes[a:b].max() for a, b in zip(starts, ends, strict=True)])
+    most = np.array([largest[a:b].max() for a, b in zip(starts, ends, strict=True)])
     columns = [np.ascontiguousarray(prints[:, k]) for k in range(lanes)]
     whole = min(lanes, 2)
     for i in range(len(starts)):
@@ -225,14 +231,14 @@ def compare_tiles(prints: np.ndarray, sizes: np.ndarray, tile: np.ndarray, radiu
                 keep = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64) <= radius
                 a, b = a[keep], b[keep]
             if similarity and len(a):
-                keep = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
+                keep = (largest[a] >= similarity * sizes[b]) & (largest[b] >= similarity * sizes[a])
                 a, b = a[keep], b[keep]
             forest.add(a, b)
     return forest.edges()
 
 
 def links(reps: DataFrame, radius: int, similarity: float = 0.0) -> DataFrame:
-    """``(fingerprint, first_id, n_shingles)`` to edges ``(a, b)`` that connect exactly what links of ``radius`` connect."""
+    """``(fingerprint, first_id, least, most)``, the latter of shingles, to edges ``(a, b)`` that connect exactly what links of ``radius`` connect."""
     ordered = cut(_with_order(reps, by_size=similarity > 0))
     n = ordered.count()
     rows = min(max(n // TILES, TILE_ROWS[0]), TILE_ROWS[1])
@@ -241,35 +247,40 @@ def links(reps: DataFrame, radius: int, similarity: float = 0.0) -> DataFrame:
     bounds = (ordered.agg(F.percentile_approx("order_key", cuts, 20 * tiles + 10000)).first()[0] if cuts else None) or []
     at = F.array(*map(F.lit, bounds)).cast("array<bigint>")
     tiled = ordered.withColumn("tile", F.size(F.filter(at, lambda x: x <= F.col("order_key"))))
-    stats = tiled.groupBy("tile").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("population", "n_shingles") for f in (F.min, F.max)))
+    stats = tiled.groupBy("tile").agg(*(f(c).alias(f"{f.__name__}_{c}") for f, c in ((F.min, "population"), (F.max, "population"), (F.min, "least"), (F.max, "most"))))
     stats = {r["tile"]: r for r in stats.collect()}
 
     def near(x, y) -> bool:
         return (
             max(x["min_population"], y["min_population"]) - min(x["max_population"], y["max_population"]) <= radius
-            and x["max_n_shingles"] >= similarity * y["min_n_shingles"]
-            and y["max_n_shingles"] >= similarity * x["min_n_shingles"]
+            and x["max_most"] >= similarity * y["min_least"]
+            and y["max_most"] >= similarity * x["min_least"]
         )
 
     pairs = [[min(i, j) * tiles + max(i, j) for j in range(tiles) if i in stats and j in stats and near(stats[i], stats[j])] for i in range(tiles)]
     partner = F.array(*(F.array(*map(F.lit, p)).cast("array<bigint>") for p in pairs))
-    dealt = tiled.select("fingerprint", "n_shingles", "order_key", "tile", F.explode(F.element_at(partner, F.col("tile") + 1)).alias("pair"))
+    dealt = tiled.select("fingerprint", "least", "most", "order_key", "tile", F.explode(F.element_at(partner, F.col("tile") + 1)).alias("pair"))
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by([("tile", "ascending"), ("order_key", "ascending"), ("fingerprint", "ascending")])
-        a, b = compare_tiles(_unhex(group["fingerprint"]), np.array(group["n_shingles"]), np.array(group["tile"]), radius, similarity)
+        a, b = compare_tiles(_unhex(group["fingerprint"]), np.array(group["least"]), np.array(group["tile"]), radius, similarity, np.array(group["most"]))
         return pa.table({"a": group["fingerprint"].take(pa.array(a)).cast(pa.string()), "b": group["fingerprint"].take(pa.array(b)).cast(pa.string())})
 
     return dealt.groupBy("pair").applyInArrow(compare, "a string, b string")
 
 
+def _representatives(prints: DataFrame) -> DataFrame:
+    """Distinct fingerprints, with the least and greatest number of shingles of the texts that have them."""
+    return cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")))
+
+
 def groups(prints: DataFrame, radius: int, similarity: float = 0.0) -> DataFrame:
     """``doc_id``, ``fingerprint``, ``component_id``: the smallest doc_id that links of ``radius`` reach, itself included.
 
     Also ``component``, which is never null, and ``text_key`` if the prints have it.
     """
     prints = cut(prints)
-    reps = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n_shingles")))
+    reps = _representatives(prints)
     return _named(prints, reps, components(links(reps, radius, similarity)), "fingerprint")
 
 
@@ -341,7 +352,7 @@ def _first_rows(df: DataFrame, chosen: DataFrame, doc_id: str, text: str) -> Dat
 def similar_groups(prints: DataFrame, df: DataFrame, radius: int, similarity: float, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """As ``groups``, of links between texts of ``df`` whose sets of shingles have the similarity; ``radius`` finds candidates for them alone."""
     prints = cut(prints)
-    reps = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n_shingles")))
+    reps = _representatives(prints)
     labels = components(links(reps, radius, similarity)).select(F.col("node").alias("fingerprint"), "component")
     texts = cut(prints.groupBy("text_key").agg(F.min("fingerprint").alias("fingerprint"), F.min("doc_id").alias("first_id")))
     texts_of = texts.join(labels, "fingerprint", "left").withColumn("candidate", F.coalesce("component", "fingerprint"))

@@ -444,6 +444,24 @@ def test_near_duplicates_are_decided_by_their_shingles(spark, monkeypatch):
     assert kept == {i for i in range(len(texts)) if i % 2 == 0 or not linked[i - 1]}
 
 
+def test_near_duplicates_with_repeated_passages(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(10):
+        a, b = similar_texts(rng, 10)
+        texts += [a, " ".join([b] * 6)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 20, 2))
+
+
+def test_equal_fingerprints_of_unlike_sizes_link_by_either(spark):
+    rows = [(1, "00", 100), (2, "00", 400), (3, "01", 390), (4, "03", 50)]
+    df = spark.createDataFrame([(i, p.zfill(16), n) for i, p, n in rows], "doc_id long, fingerprint string, n_shingles long")
+    found = {r["doc_id"]: r["component_id"] for r in simhash_dedup.groups(df, 1, 0.8).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_similar_pairs_against_brute_force(seed):
     rng = random.Random(seed)
