@@ -8,6 +8,12 @@ follow each other under one parent, are joined by smoothness edges, the stronger
 the nearer they stand in the document's tree. The minimum cut, found by maximum
 flow, separates content from boilerplate at the least total cost.
 
+Names of classes, ids and roles weigh against a block as a whole: site-footer does,
+has-sidebar and category-social do not, and a name of which only a part is against,
+as search-engines, weighs less. An article or main element has no such weight of its
+own, unless it is a comment or the like, and where a page has none outside elements
+with such names, those inside shed their weight.
+
 Text of scripts, styles, comments and the head is no block at all. Character
 references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined in page order by two line breaks. Null or empty html has empty
@@ -48,39 +54,73 @@ AGAINST = frozenset(
 )
 FOR = frozenset("article articlebody body content entry main post story text".split())
 AGAINST_ODDS, FOR_ODDS = -9.0, 1.5
+#: A name of which only some parts are against, as search-engines; it counts once, however many surround a block.
+PARTLY_ODDS = -3.0
+#: Parts of a name that leave its meaning to the others, as in site-footer.
+NEUTRAL = frozenset(
+    "area article bar block blog body bottom box btn button buttons container content entry fixed global group holder icon icons inner item items left link links list main "
+    "mobile outer overlay page panel post posts primary right row secondary section site sticky story sub text thread title top widgets wrap wrapper".split()
+)
+#: Names with one of these anywhere, or that start with one of the latter, tell of other elements or of the page's subject.
+STATES, SUBJECTS = frozenset("has have no not non with without".split()), frozenset("cat category format is tag tagged term topic type".split())
+#: What an article of its own may be that is not the page's.
+OTHER_ARTICLES = frozenset("ad ads advert advertisement comment comments promo promoted recommended related replies reply sponsored".split())
 #: Smoothness: of blocks with one parent, one grandparent, others; across the border of a landmark; of later siblings.
 NEAR, FAR, APART, ACROSS, SIBLING = 1.2, 0.8, 0.3, 0.05, 0.6
 
 
 class Block:
-    __slots__ = ("text", "linked", "odds", "parent", "above", "landmark")
+    __slots__ = ("text", "linked", "odds", "parent", "above", "landmark", "shed")
 
     def __init__(self, text, linked, node):
         self.text, self.linked = text, linked
         while node.tag in INLINE and node.above is not None:
             node = node.above
         self.parent, self.above, self.landmark = node.serial, node.above.serial if node.above else -1, node.landmark
-        self.odds = log_odds(text, linked, node)
+        self.odds, self.shed = log_odds(text, linked, node), node.shed
+
+
+def named_against(names: list[list[str]], whole: frozenset[str] = AGAINST) -> float:
+    """Log odds that names, given in parts, add: whole names against weigh most."""
+    odds = 0.0
+    for parts in names:
+        if whole.isdisjoint(parts) or not STATES.isdisjoint(parts) or (len(parts) > 1 and parts[0] in SUBJECTS):
+            continue
+        odds = min(odds, AGAINST_ODDS if all(p in AGAINST or p in NEUTRAL for p in parts) else PARTLY_ODDS)
+    return odds
 
 
 class Node:
-    __slots__ = ("tag", "above", "serial", "against", "favour", "landmark", "hidden")
+    __slots__ = ("tag", "above", "serial", "tagged", "named", "partly", "shed", "favour", "landmark", "hidden")
 
     def __init__(self, tag, attrs, above, serial):
         self.tag, self.above, self.serial = tag, above, serial
-        words = {w for k, v in attrs if k in ("class", "id", "role", "itemprop") and v for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", v).lower())}
-        own = AROUND.get(tag, 0.0)
+        values = [t for k, v in attrs if k in ("class", "id", "role", "itemprop") and v for t in v.split()]
+        names = [[w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", t).lower()) if w] for t in values]
+        own, article = AROUND.get(tag, 0.0), tag in ("article", "main")
         if tag == "header" and above is not None and above.landmark[1] in ("article", "main"):
             own = 0.0
-        if tag not in ("html", "body") and words & AGAINST:
-            own = min(own, AGAINST_ODDS)
-        elif words & FOR and own >= 0:
+        named = 0.0
+        if article:
+            named = named_against(names, OTHER_ARTICLES)
+            named = named if named <= AGAINST_ODDS else 0.0
+        elif tag not in ("html", "body"):
+            named = named_against(names)
+        if named > AGAINST_ODDS and own >= 0 and any(not FOR.isdisjoint(parts) for parts in names):
             own += FOR_ODDS
-        self.against = min(own, 0.0) + (above.against if above else 0.0)
-        self.favour = max(own, above.favour if above else 0.0)
-        self.landmark = (serial, tag) if tag in LANDMARKS or own <= AGAINST_ODDS else above.landmark if above else (-1, "")
+        self.tagged = min(own, 0.0) + (above.tagged if above else 0.0)
+        self.favour = max(own if named > AGAINST_ODDS else 0.0, above.favour if above else 0.0)
+        before, partly, shed = (above.named, above.partly, above.shed) if above else (0.0, 0.0, 0.0)
+        self.named = before + (named if named <= AGAINST_ODDS and own >= 0 else 0.0)
+        self.partly = 0.0 if article else min(partly, named if named > AGAINST_ODDS else 0.0)
+        self.shed = -before if article and named == 0 else shed
+        self.landmark = (serial, tag) if tag in LANDMARKS or min(own, named) <= AGAINST_ODDS else above.landmark if above else (-1, "")
         self.hidden = tag in HIDDEN or (above.hidden if above else False) or any(k == "hidden" for k, _ in attrs)
 
+    @property
+    def against(self) -> float:
+        return self.tagged + self.named + self.partly
+
 
 def log_odds(text: str, linked: int, node: Node) -> float:
     """Log odds that a block is content."""
@@ -105,7 +145,7 @@ class Reader(HTMLParser):
         self.pieces: list[str] = []
         self.linked = 0
         self.links = 0
-        self.marked = False
+        self.marked = self.clear = False
 
     def _break(self) -> None:
         if self.pieces:
@@ -134,7 +174,9 @@ class Reader(HTMLParser):
         self.serial += 1
         self.top = Node(tag, attrs, self.top, self.serial)
         self.links += tag == "a"
-        self.marked |= tag in ("article", "main")
+        if tag in ("article", "main"):
+            self.marked = True
+            self.clear |= self.top.against == 0
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -169,6 +211,9 @@ class Reader(HTMLParser):
         if not self.marked:
             for b in self.blocks:
                 b.odds += UNMARKED
+        elif not self.clear:
+            for b in self.blocks:
+                b.odds += b.shed
         return self.blocks
 
 

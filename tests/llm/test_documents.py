@@ -363,6 +363,26 @@ def test_main_text():
     assert html_mincut.main_text(PAGE) == "The title\n\nFirst & bold text here, of some length.\n\nSecond paragraph.\n\nA point that is made."
 
 
+LONG = "This is a long paragraph of the article, which tells in plain words what has happened, and to whom, and when it was."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        *(f"<div class='{c}'><article><p>{LONG}</p></article><div class=sidebar><p>{LONG[5:]}</p></div></div>" for c in ("has-sidebar", "no-sidebar", "layout with-navigation", "elementor-widget", "widget", "content-sidebar-wrap")),
+        *(f"<article class='{c}'><p>{LONG}</p></article>" for c in ("post category-social", "post tag-login", "social")),
+        f"<article><section id='search-engines'><p>{LONG}</p></section></article>",
+        f"<div class='elementor-widget'><div class='elementor-widget-container'><p>{LONG}</p></div></div>",
+        f"<body class='no-sidebar'><div class='page has-sidebar'><p>{LONG}</p></div></body>",
+        f"<article><p>{LONG}</p></article><ol class='comment-list'><li><article class='comment-body'><p>{LONG[5:]}</p></article></li></ol>",
+        f"<article><p>{LONG}</p></article><div class='related-posts'><article><p>{LONG[5:]}</p></article></div>",
+        *(f"<article><p>{LONG}</p></article><div class='{c}'><p>{LONG[5:]}</p></div>" for c in ("site-footer", "main-nav", "left_sidebar", "shareButtons", "cookie-notice", "widget-2")),
+    ],
+)
+def test_names_of_wrappers_lose_no_article(page):
+    assert html_mincut.main_text(page) == LONG
+
+
 def test_odd_pages(spark):
     htmls = [None, "", "just text", "<p>a<p>b", "<" * 500, "<div>" * 3000 + "deep", "<p>" * 3000 + "x", PAGE, PAGE]
     df = spark.createDataFrame([(i, f"u{i}", h, "clash") for i, h in enumerate(htmls)], "page_id long, url string, html string, TEXT string")
