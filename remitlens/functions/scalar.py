@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from remitlens.params import CURRENCY_CODES, Period
+from remitlens.params import BASE_CURRENCY, CURRENCY_CODES, Period
 
 
 def day_number(ts: Column) -> Column:
@@ -53,9 +53,9 @@ def quote_of(currency: Column) -> Column:
     return F.create_map(*pairs)[currency]
 
 
-def is_usd(currency: Column, usd: str) -> Column:
-    """As conversion tests it, without regard to case."""
-    return F.lower(currency) == F.lit(usd.lower())
+def is_base(currency: Column) -> Column:
+    """Whether conversion leaves the currency as it is: the base currency, without regard to case."""
+    return F.lower(currency) == F.lit(BASE_CURRENCY.lower())
 
 
 def in_dollars(amount: Column, rate: Column) -> Column:

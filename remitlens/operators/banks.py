@@ -15,8 +15,8 @@ def largest(tx: DataFrame) -> DataFrame:
 
     The order is by amount, then by the smaller ``tx_id``, in one struct, so ties never depend on partitioning.
     """
-    rank = F.struct("amount_paid", (-F.col("tx_id")).alias("first"))
-    return with_amount(tx).groupBy("from_bank").agg(F.max_by(F.struct("from_account", "amount_paid", "tx_id"), rank).alias("top")).select(
+    rank = F.struct((-F.col("amount_paid")).alias("less"), "tx_id")
+    return with_amount(tx).groupBy("from_bank").agg(F.min_by(F.struct("from_account", "amount_paid", "tx_id"), rank).alias("top")).select(
         "from_bank", F.col("top.from_account").alias("from_account"), F.col("top.amount_paid").alias("amount_paid"), F.col("top.tx_id").alias("tx_id")
     )
 

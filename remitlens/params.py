@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, replace
 from datetime import date, datetime, timedelta
 
+# Fixed value: the currency that conversion takes as it is, whatever the filters call the dollar.
+BASE_CURRENCY = "US Dollar"
+
 # Names of convertible currencies and their ISO codes; the base currency has none.
 CURRENCY_CODES = {
     "Australian Dollar": "AUD",
@@ -45,6 +48,16 @@ class Period:
         """The first day after the period."""
         return self.last + timedelta(days=1)
 
+    @property
+    def days(self) -> list[int]:
+        """Every day of the period as a YYYYMMDD integer."""
+        return [int((self.first + timedelta(days=i)).strftime("%Y%m%d")) for i in range((self.end - self.first).days)]
+
+
+def split_list(raw: str) -> tuple[str, ...]:
+    """The parts of a list separated by commas, trimmed, without blank ones."""
+    return tuple(part for part in map(str.strip, raw.split(",")) if part)
+
 
 @dataclass(frozen=True)
 class Params:
@@ -86,6 +99,7 @@ class Params:
             "SUSPICIOUS_THRESHOLD": ("suspicious_degree", int),
             "MIN_INTERMEDIATES": ("min_intermediates", int),
             "MAX_CONVERTED_AMOUNT_USD": ("micro_amount", float),
+            "PAYMENT_FORMATS": ("formats", split_list),
         }
         found = {field: kind(env[name]) for name, (field, kind) in names.items() if env.get(name)}
         made = replace(cls(), **found)
@@ -96,6 +110,3 @@ class Params:
                 days = [int(b or d.strftime("%Y%m%d")) for b, d in zip(bounds, (was.first, was.last), strict=True)]
                 made = replace(made, **{f"period{k}": Period.of(*days)})
         return made
-
-    def names(self) -> list[str]:
-        return [f.name for f in fields(self)]

@@ -11,7 +11,7 @@ from remitlens import schema
 from remitlens.functions import scalar as S
 from remitlens.operators import banks, formats, graph, rates, routing
 from remitlens.plans import queries as Q
-from remitlens.sources import derived
+from remitlens.sources import derived, files
 
 P = derived.PARAMS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,7 +96,11 @@ def _plain(df: DataFrame) -> DataFrame:
 
 
 def _edges(tx: DataFrame) -> DataFrame:
-    return graph.edges(routing.in_period(routing.usd(tx, P), P.period1))
+    return graph.edges(_first_dollars(tx))
+
+
+def _first_dollars(tx: DataFrame) -> DataFrame:
+    return routing.in_period(routing.usd(tx, P), P.period1)
 
 
 # Scans and projections
@@ -213,6 +217,26 @@ def _(tx, spark, sf_dir):
     return Q.largest_per_bank(tx, derived.accounts(spark, sf_dir), P)
 
 
+@_register("q2_sorted", "top", "SELECT from_bank, from_account, amount_paid, tx_id FROM top ORDER BY from_bank")
+def _(tx, spark, sf_dir):
+    return Q.in_bank_order(banks.largest(routing.usd(tx, P)))
+
+
+@_register(
+    "q2_from_files", "top banks",
+    "SELECT from_bank, from_account, coalesce(nullif(trim(bank_name), ''), 'UNKNOWN_' || from_bank) AS bank_name, round(amount_paid, 2) AS amount_paid FROM top LEFT JOIN banks ON from_bank = bank_id",
+)
+def _(tx, spark, sf_dir):
+    """As ``q2_max_per_bank``, of transfers that were written as CSV files and read back in file order."""
+    folder = derived.as_files(spark, tx)
+    return Q.largest_per_bank(files.read_transfers(spark, folder), derived.accounts(spark, sf_dir), P)
+
+
+@_register("e0_first_transfers", "tx", f"SELECT {_TX} FROM tx ORDER BY tx_id LIMIT 5")
+def _(tx, spark, sf_dir):
+    return Q.head(_plain(tx).orderBy("tx_id"))
+
+
 @_register("q2_missing_names", "top banks", "SELECT count(*) AS n FROM top WHERE from_bank NOT IN (SELECT bank_id FROM banks)")
 def _(tx, spark, sf_dir):
     named = banks.names(derived.accounts(spark, sf_dir)).withColumnRenamed("bank_id", "from_bank")
@@ -241,6 +265,11 @@ def _(tx, spark, sf_dir):
     return Q.below_format_average(tx, P)
 
 
+@_register("q3_sorted_sums", "p1", "SELECT payment_format, round(sum(amount_paid), 2) AS total, count(*) AS n FROM p1 GROUP BY payment_format ORDER BY payment_format")
+def _(tx, spark, sf_dir):
+    return Q.in_format_order(formats.sums(_first_dollars(tx)).withColumn("total", S.money(F.col("total"))))
+
+
 # Q4
 
 
@@ -302,7 +331,7 @@ def _(tx, spark, sf_dir):
 
 @_register("q4_sorted", "paths", f"SELECT {_ENDS}, intermediates FROM ({_PAIRS}) ORDER BY ALL")
 def _(tx, spark, sf_dir):
-    return graph.scatter_gather(_edges(tx), P.suspicious_degree, P.min_intermediates).orderBy(*graph.ENDS)
+    return graph.scatter_gather(_first_dollars(tx), P.suspicious_degree, P.min_intermediates).orderBy(*graph.ENDS)
 
 
 # Q5

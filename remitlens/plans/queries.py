@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,21 +26,55 @@ def largest_per_bank(tx: DataFrame, accounts: DataFrame, p: Params) -> DataFrame
 def below_format_average(tx: DataFrame, p: Params) -> DataFrame:
     """Q3: dollar transfers of period 2 under a share of their format's average in period 1."""
     dollars = routing.usd(tx, p)
-    average = formats.averages(routing.in_period(dollars, p.period1))
+    average = formats.bounded(formats.averages(routing.in_period(dollars, p.period1)))
     found = formats.below_average(routing.in_period(dollars, p.period2), average, p.share_of_average)
     return found.select("from_bank", "from_account", S.money(F.col("amount_paid")).alias("amount_paid"))
 
 
 def scatter_gather(tx: DataFrame, p: Params) -> DataFrame:
     """Q4: pairs of accounts that dollar transfers of period 1 link through enough intermediaries."""
-    e = graph.edges(routing.in_period(routing.usd(tx, p), p.period1))
-    return graph.scatter_gather(e, p.suspicious_degree, p.min_intermediates, p.prune_fan_in).select(*graph.ENDS)
+    chosen = routing.in_period(routing.usd(tx, p), p.period1)
+    return graph.scatter_gather(chosen, p.suspicious_degree, p.min_intermediates, p.prune_fan_in).select(*graph.ENDS)
 
 
 def micro_transfers(tx: DataFrame, quotes: DataFrame, p: Params) -> DataFrame:
     """Q5: how many period 1 transfers of the given formats are worth less than the micro amount in dollars; one row."""
     chosen = routing.with_amount(routing.of_formats(routing.in_period(tx, p.period1), p))
-    return rates.converted(chosen, quotes, p).agg(F.count_if(F.col("usd") < p.micro_amount).alias("count"))
+    return rates.micro_count(chosen, rates.rates_of_period(quotes, p.period1, p.rates_as_of), p)
+
+
+#: The five queries by the names of their results.
+FIVE = ("q1", "q2", "q3", "q4", "q5")
+
+
+def chosen(tx: DataFrame, accounts: DataFrame, quotes: DataFrame, p: Params, which: Iterable[str] = FIVE) -> dict[str, DataFrame]:
+    """The results of the chosen ones of the five queries over one set of tables."""
+    made = {
+        "q1": lambda: small_transfers(tx, p),
+        "q2": lambda: largest_per_bank(tx, accounts, p),
+        "q3": lambda: below_format_average(tx, p),
+        "q4": lambda: scatter_gather(tx, p),
+        "q5": lambda: micro_transfers(tx, quotes, p),
+    }
+    unknown = sorted(set(which) - set(made))
+    if unknown:
+        raise ValueError(f"there are no queries {unknown}")
+    return {name: made[name]() for name in made if name in set(which)}
+
+
+def in_bank_order(df: DataFrame) -> DataFrame:
+    """Q2's rows as they are shown, by bank."""
+    return df.orderBy("from_bank")
+
+
+def in_format_order(df: DataFrame) -> DataFrame:
+    """Sums and averages as they are shown, by format."""
+    return df.orderBy("payment_format")
+
+
+def head(df: DataFrame, n: int = 5) -> DataFrame:
+    """The first rows; an order before it makes them defined."""
+    return df.limit(n)
 
 
 def timestamp_range(tx: DataFrame) -> DataFrame:

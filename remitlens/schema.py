@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from remitlens.params import CURRENCY_CODES
-
 _STRING = T.StringType()
 
 #: Transfers file, by position; everything is text until it has been validated.
@@ -22,7 +19,3 @@ RATES = "rate_date int, quote string, rate double"
 
 #: The eight columns that a projection can keep.
 MASK = ("tx_date", "from_bank", "from_account", "to_bank", "to_account", "amount_paid", "currency", "payment_format")
-
-
-def currency_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(CURRENCY_CODES.items()), "currency string, quote string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from remitlens.functions import scalar as S
 from remitlens.params import Params, Period
-from remitlens.sources.files import rates_of
+from remitlens.sources.files import rates_of, write_transfers
 
 #: Periods that the events fall into.
 PARAMS = replace(Params(), period1=Period.of(20240101, 20240105), period2=Period.of(20240106, 20240115))
@@ -50,3 +51,11 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rates(spark: SparkSession) -> DataFrame:
     return rates_of(spark, [(day, quote, rate) for day in RATE_DAYS for quote, rate in RATE_OF.items()])
+
+
+def as_files(spark: SparkSession, tx: DataFrame) -> str:
+    """The transfers as CSV files, under the folder that the cluster shares; the files' path."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder.rstrip('/')}/transfers-{uuid.uuid4().hex}"
+    write_transfers(tx, path)
+    return path

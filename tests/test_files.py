@@ -6,12 +6,13 @@ import urllib.error
 import pytest
 from pyspark.sql import functions as F
 
-from remitlens import compare
+from remitlens import client, compare
 from remitlens.params import Params
 from remitlens.plans import queries as Q
 from remitlens.sources import derived, files
 from remitlens.streaming import ingest
 
+# Fixed value: the header of the original files.
 HEAD = "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering"
 GOOD = "2022/09/01 00:05,020,8000A,4294967295,8000B,10.50,US Dollar, 10.50,US Dollar,Wire,0"
 
@@ -50,6 +51,45 @@ def test_nan_is_read_and_dropped_by_queries(spark, tmp_path):
     assert tx.count() == 1 and Q.small_transfers(tx, Params()).count() == 0
 
 
+def test_bad_rows_can_be_discarded(spark, tmp_path):
+    path = written(tmp_path, GOOD, GOOD.replace("020", "-20"), GOOD + ",extra", GOOD.replace("8000A", "8000C"))
+    assert [r["from_account"] for r in files.read_transfers(spark, path, discard=True).orderBy("tx_id").collect()] == ["8000A", "8000C"]
+
+
+def line(account, amount, bank=20):
+    return GOOD.replace("8000A", account).replace(" 10.50,US", f"{amount},US").replace(",020,", f",{bank},")
+
+
+def test_order_follows_files_however_they_are_split(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("\n".join([HEAD, line("first", 99)]) + "\n")
+    (folder / "b.csv").write_text("\n".join([HEAD, *(line(f"b{i:03d}", 99) for i in range(200))]) + "\n")
+    (folder / "c.csv").write_text(HEAD + "\n")
+    sizes = {"spark.sql.files.maxPartitionBytes": "700b", "spark.sql.files.openCostInBytes": "64b"}
+    for conf in ({}, sizes):
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        tx = files.read_transfers(spark, str(folder))
+        found = [r["from_account"] for r in tx.orderBy("tx_id").collect()]
+        assert found == ["first", *(f"b{i:03d}" for i in range(200))] and tx.select("tx_id").distinct().count() == 201
+        assert [r["from_account"] for r in Q.largest_per_bank(tx, spark.createDataFrame([], "seq long, bank_id long, bank_name string"), Params()).collect()] == ["first"]
+        if conf:
+            assert tx.rdd.getNumPartitions() > 10
+    for k in sizes:
+        spark.conf.unset(k)
+
+
+def test_names_of_several_account_files_follow_file_order(spark, tmp_path):
+    head = "Bank Name,Bank ID,Account Number,Entity ID,Entity Name"
+    (tmp_path / "a.csv").write_text(f"{head}\nEarly,7,A1,E,x\n")
+    (tmp_path / "b.csv").write_text("\n".join([head, *(f"Late {i},7,A{i},E,x" for i in range(60))]) + "\n")
+    from remitlens.operators import banks
+
+    accounts = files.read_accounts(spark, str(tmp_path))
+    assert [banks.names(accounts, which).first()["bank_name"] for which in ("first", "last")] == ["Early", "Late 59"]
+
+
 def test_accounts(spark, tmp_path):
     path = written(tmp_path, "First Bank,010,A1,E1,Someone", ",7,A2,E2,", head="Bank Name,Bank ID,Account Number,Entity ID,Entity Name")
     assert [(r["bank_id"], r["bank_name"]) for r in files.read_accounts(spark, path).orderBy("seq").collect()] == [(10, "First Bank"), (7, None)]
@@ -110,10 +150,94 @@ def test_streams_equal_batch_and_restart_adds_nothing(spark, tmp_path):
     for query in (Q.below_format_average, Q.scatter_gather, Q.small_transfers):
         assert compare.compare(query(tx, p), query(kept, p)).equal
     live = ingest.arriving(spark, str(tmp_path / "in"))
-    daily = ingest.daily_rates(spark, derived.rates(spark), p)
+    daily = ingest.daily_rates(derived.rates(spark), p)
     ingest.run_complete(ingest.micro_transfers(live, daily, p), "q5_live", str(tmp_path / "s5")).awaitTermination()
     assert spark.table("q5_live").first()[0] == Q.micro_transfers(tx, derived.rates(spark), p).first()[0]
     ingest.run_complete(ingest.largest_per_bank(live, p), "q2_live", str(tmp_path / "s2")).awaitTermination()
     from remitlens.operators import banks, routing
 
     assert compare.compare(banks.largest(routing.usd(tx, p)), spark.table("q2_live")).equal
+
+
+def test_csv_streams_number_by_arrival_and_add_nothing_twice(spark, tmp_path):
+    arriving, table, state = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "state")
+    arriving.mkdir()
+    for name, accounts in (("z.csv", ["A", "B"]), ("a.csv", ["C"])):  # a file that arrives later is later, whatever its name
+        (arriving / name).write_text("\n".join([HEAD, *(line(x, 99) for x in accounts)]) + "\n")
+        for _ in range(2):
+            ingest.transfers_from_csv(spark, str(arriving), table, state).awaitTermination()
+    kept = ingest.arrived(spark, table)
+    assert [r["from_account"] for r in kept.orderBy("tx_id").collect()] == ["A", "B", "C"]
+    none = spark.createDataFrame([], "seq long, bank_id long, bank_name string")
+    assert [r["from_account"] for r in Q.largest_per_bank(kept, none, Params()).collect()] == ["A"]
+    (arriving / "bad.csv").write_text(f"{HEAD}\n{line('D', 'ten')}\n{line('E', 1)}\n")
+    with pytest.raises(Exception, match="amount_paid"):
+        ingest.transfers_from_csv(spark, str(arriving), table, state).awaitTermination()
+    assert ingest.arrived(spark, table).count() == 3
+    ingest.transfers_from_csv(spark, str(arriving), table, state, discard=True).awaitTermination()
+    assert ingest.arrived(spark, table).count() == 4
+
+
+def test_account_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("Bank Name,Bank ID,Account Number,Entity ID,Entity Name\nOne,1,A,E,x\n,2,B,E,y\n")
+    table = str(tmp_path / "table")
+    ingest.accounts_from_csv(spark, str(tmp_path / "in"), table, str(tmp_path / "state")).awaitTermination()
+    assert [(r["bank_id"], r["bank_name"]) for r in ingest.arrived(spark, table, "seq").orderBy("seq").collect()] == [(1, "One"), (2, None)]
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    arriving, table, state = str(tmp_path / "in"), str(tmp_path / "bronze"), str(tmp_path / "state")
+    tx = derived.transfers(spark, "/root/testdata/sf0.001")
+    days = [r["tx_date"] for r in tx.select("tx_date").distinct().orderBy("tx_date").collect()]
+    for day in (days[-1], days[-1], days[0]):  # the watermark passes the last day before the first day's rows come
+        tx.where(f"tx_date = {day}").write.mode("append").parquet(arriving)
+        ingest.to_bronze(ingest.deduplicated(ingest.arriving(spark, arriving), "1 day"), table, state).awaitTermination()
+    assert [r["tx_date"] for r in ingest.bronze(spark, table).select("tx_date").distinct().collect()] == [days[-1]]
+    assert ingest.bronze(spark, table).count() == tx.where(f"tx_date = {days[-1]}").count()
+
+
+def test_a_client_runs_all_queries_and_compares(spark, tmp_path):
+    root, rates = tmp_path / "sets", tmp_path / "rates.json"
+    root.mkdir()
+    lines = [line("a", 10), line("b", 20, bank=21), line("a", 0.5), GOOD.replace("2022/09/01", "2022/09/07").replace(" 10.50,US", "0.01,US")]
+    (root / "LI-Small_Trans.csv").write_text("\n".join([HEAD, *lines]) + "\n")
+    (root / "LI-Small_accounts.csv").write_text("Bank Name,Bank ID,Account Number,Entity ID,Entity Name\nOne,20,A,E,x\n")
+    rates.write_text(json.dumps([{"date": "2022-09-01", "quote": "EUR", "rate": 0.9}]))
+    made = client.generate(spark, "small", str(root), str(rates), str(tmp_path / "ref"))
+    assert list(made) == ["q1", "q2", "q3", "q4", "q5"]
+    read = lambda q: [tuple(r) for r in spark.read.option("header", True).csv(made[q]).collect()]
+    assert len(read("q1")) == 4 and sorted(read("q2")) == [("20", "a", "One", "10.00"), ("21", "b", "UNKNOWN_21", "20.00")]
+    assert read("q3") == [("20", "8000A", "0.01")] and read("q4") == [] and read("q5") == [("1",)]
+    transfers, accounts = files.datasets(str(root))["small"]
+    client.run(spark, transfers, accounts, str(rates), str(tmp_path / "out"), which=["q2", "q5"], client="c1")
+    assert all(d.equal for d in client.differences(spark, str(tmp_path / "out"), str(tmp_path / "ref"), ["q2", "q5"], "c1").values())
+    with pytest.raises(ValueError):
+        client.run(spark, transfers, accounts, str(rates), str(tmp_path / "out"), which=["q6"])
+
+
+def test_a_client_can_be_aborted(spark, tmp_path):
+    import threading
+    import time
+
+    done = []
+
+    def slow():
+        spark.sparkContext.setJobGroup("gone", "", interruptOnCancel=True)
+        try:
+            spark.range(0, 10**13, numPartitions=4).selectExpr("sum(id * id % 7)").collect()
+        except Exception as e:  # noqa: BLE001
+            done.append(str(e))
+
+    from pyspark import InheritableThread
+
+    thread = InheritableThread(target=slow)
+    thread.start()
+    for _ in range(100):
+        time.sleep(0.2)
+        if spark.sparkContext.statusTracker().getJobIdsForGroup("gone"):
+            break
+    client.abort(spark, "gone")
+    thread.join(60)
+    assert not thread.is_alive() and "cancel" in done[0].lower()
+    assert isinstance(thread, threading.Thread) and spark.range(3).count() == 3

@@ -108,12 +108,23 @@ def test_q4_self_loops_are_intermediaries(spark):
 
 
 def test_q4_pruning_only_where_it_is_safe(spark):
-    e = graph.edges(make(spark, *fan(6, (2, "b")), (1, "x", 5, "m0", 1.0)))
+    tx = make(spark, *fan(6, (2, "b")), (1, "x", 5, "m0", 1.0))
     for degree, least in ((5, 5), (3, 6), (6, 3)):
-        found = [rows(graph.scatter_gather(e, degree, least, prune)) for prune in (True, False)]
+        found = [rows(graph.scatter_gather(tx, degree, least, prune)) for prune in (True, False)]
         assert found[0] == found[1] and len(found[0]) == 1
 
 
+@pytest.mark.parametrize("most", [4096, 3, 1])
+def test_q4_wide_intermediaries_are_dealt_to_groups(spark, monkeypatch, most):
+    star = [x for i in range(30) for x in ((1, f"s{i % 6}", 5, f"m{i % 5}", 1.0), (5, f"m{i % 5}", 2, f"t{i % 12}", 1.0))]
+    tx = make(spark, *star, *fan(5, (2, "b")), *((1, f"s{i}", 5, f"m{j}", 1.0) for i in range(6) for j in range(5)), *((5, f"m{j}", 2, "t0", 1.0) for j in range(5)))
+    expected = rows(graph.scatter_gather(tx, 5, 5))
+    monkeypatch.setattr(graph, "GROUP_EDGES", most)
+    assert len(expected) > 6 and rows(graph.scatter_gather(tx, 5, 5)) == expected
+    monkeypatch.setattr(graph, "BROADCAST_WIDE", 1)
+    assert rows(graph.scatter_gather(tx, 5, 5)) == expected
+
+
 RATES = [(20220901, "EUR", 0.5), (20220903, "EUR", 4.0), (20220901, "GBP", 0.0)]
 
 
@@ -187,6 +198,46 @@ def test_params():
             Params.from_env(bad)
 
 
+def test_formats_from_the_environment():
+    assert Params.from_env({"PAYMENT_FORMATS": " Wire, ,Cash,"}).formats == ("Wire", "Cash")
+
+
+def test_the_base_currency_is_fixed(spark):
+    tx = make(spark, (1, "a", 2, "b", 0.6, "Euro", "Wire", "2022/09/01 09:00"), (1, "a", 2, "b", 0.6, "US Dollar", "Wire", "2022/09/01 09:00"))
+    p = Params.from_env({"CURRENCY_USD": "Euro"})
+    assert Q.micro_transfers(tx, rates_of(spark, RATES), p).first()[0] == 1 and Q.small_transfers(tx, p).count() == 1
+
+
+def exchanged(df):
+    """The operators under the exchanges of a plan before it runs."""
+    return [x for x in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "SortMergeJoin" in x or "ShuffledHashJoin" in x]
+
+
+def test_transfers_are_not_shuffled_for_rates_or_averages(spark):
+    from conftest import SMALL
+
+    from remitlens.sources import derived
+
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tx, p = derived.transfers(spark, SMALL), derived.PARAMS
+        for df in (Q.micro_transfers(tx, derived.rates(spark), p), Q.micro_transfers(tx, derived.rates(spark), replace(p, rates_as_of=False)), Q.below_format_average(tx, p)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert not exchanged(df) and "BroadcastHashJoin" in plan and plan.count("FileScan") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_sorted_results(spark):
+    tx = make(spark, (3, "a", 9, "b", 5.0), (1, "a", 9, "b", 4.0, "US Dollar", "Cash", "2022/09/01 09:00"), (2, "c", 9, "b", 6.0))
+    from remitlens.operators import formats
+
+    assert [r["from_bank"] for r in Q.in_bank_order(banks.largest(tx)).collect()] == [1, 2, 3]
+    assert [r["payment_format"] for r in Q.in_format_order(formats.sums(tx)).collect()] == ["Cash", "Wire"]
+    assert [r["tx_id"] for r in Q.head(tx.orderBy("tx_id"), 2).collect()] == [0, 1]
+
+
 def test_day_numbers(spark):
     row = spark.range(1).select(S.iso_day(F.lit(20240229)), S.iso_day(F.lit(20230229)), S.money_text(F.lit(3.5)), S.account_key(F.lit(7), F.lit("x"))).first()
     assert tuple(row) == ("2024-02-29", None, "3.50", "7|x")
