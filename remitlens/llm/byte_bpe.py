@@ -27,7 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Characters of texts that the cached path handles; a text with others goes through the library as a whole.
+from remitlens.llm.common import importable
+
+#: Characters of texts that the cached path handles; a text with others, or with a string of an added token, goes
+#: through the library as a whole.
 CACHED_BELOW = 0x370
 #: Distinct words that a worker keeps, and characters that it encodes at once.
 CACHE_WORDS, CHUNK_CHARS = 1 << 19, 1 << 20
@@ -99,7 +102,8 @@ class WordEncoder:
     def __init__(self, tokenizer, pattern: str):
         self.tokenizer, self.model, self.split = tokenizer, tokenizer.model, narrow_pattern(pattern).findall
         self.shown = dict(enumerate(byte_chars()))
-        self.wide = re.compile(f"[^\\u0000-\\u{CACHED_BELOW - 1:04x}]").search
+        named = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        self.wide = re.compile("|".join([f"[^\\u0000-\\u{CACHED_BELOW - 1:04x}]", *named])).search
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -189,6 +193,7 @@ def with_columns_from(df: DataFrame, added: str, make) -> DataFrame:
 
     ``make`` turns a batch into slices of it, each with the added columns' Arrow arrays.
     """
+    importable(df.sparkSession)
     fields = T._parse_datatype_string(added).fields
     names = [f.name for f in fields]
     taken = {n.lower() for n in names}
@@ -239,6 +244,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text")
 
     Encoding and decoding run in the same Python worker, so ids never cross to the JVM.
     """
+    importable(df.sparkSession)
     added = T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string").fields
     gone = {text.lower(), *(f.name for f in added)}
     schema = T.StructType([*(f for f in df.schema.fields if f.name.lower() not in gone), *added])

@@ -31,11 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that
-    is unset, as in tests on one machine, a temporary folder takes its place.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset, a
+    temporary folder takes its place if all tasks run on this machine, else this fails.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="remitlens-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -50,6 +52,7 @@ def new_folder(spark: SparkSession, what: str) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably in the shared folder and cut its lineage."""
+    importable(df.sparkSession)
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

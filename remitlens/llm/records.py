@@ -11,15 +11,21 @@ A checksum is masked, rotated right by 15 bits plus a constant, since a plain
 checksum of data that holds checksums is weak. The data of a record is one
 document: a byte that tells the width of an id (2 or 4 bytes), a byte that tells
 whether the document has an id, the document's id (8 bytes), then its token ids.
-``shard-NNNNN.idx`` holds the little-endian 64-bit offset of every frame, so
-records can be read in any order. ``_manifest.json`` lists shards and sizes.
-
-Shards hold ascending document ids and are ordered among each other. A shard is
-written under a name of its attempt and renamed, so a task that runs again after
-its executor was lost replaces the shard by the same bytes.
-
-Null texts are empty and hold the end id alone; rows without an id come first;
+``shard-NNNNN.idx`` holds two little-endian 64-bit integers for every frame: its
+offset, and the number of ids in the shard before it. So records can be read in any
+order, and a large shard is read by several tasks, each from an indexed offset on.
+``_manifest.json`` lists shards and sizes.
+
+Shards hold ascending document ids and are ordered among each other; there are as
+many as the texts' bytes ask for, and rows that share a doc_id, in order of their
+texts' hash, may go to several. A shard is written under a name of its attempt and
+renamed, so a task that runs again after its executor was lost replaces the shard
+by the same bytes.
+
+Strings of special tokens in a text give those tokens' ids, as the library gives
+them, unless ``write`` is told to take them as ordinary text. Null texts are empty and hold the end id alone; rows without an id come first;
 repeated rows are repeated records; an empty table gives a manifest of no shards.
+Texts of any length are one record each. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,12 +45,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitlens.llm import byte_bpe
-from remitlens.llm.common import file_system
+from remitlens.llm.common import file_system, importable
 
 #: Fixed value of the mask; the rotation is by 15 bits.
 MASK_DELTA = 0xA282EAD8
-#: Bytes that a reader fetches at once.
-READ_BYTES = 1 << 22
+#: Bytes that a reader fetches at once; of a shard that one task reads.
+READ_BYTES, SPLIT_BYTES = 1 << 22, 1 << 26
+#: Bytes of text of a shard; fewer where that would leave a small corpus to few tasks.
+SHARD_BYTES, LEAST_BYTES = 1 << 28, 1 << 22
 
 MANIFEST = "shard int, file string, n_records long, n_ids long, bytes long"
 
@@ -92,28 +100,36 @@ def frames(read) -> Iterator[bytes]:
 
 
 @lru_cache(2)
-def library_encoder(path: str, pattern: str) -> byte_bpe.WordEncoder:
-    """The tokenizer of a tokenizers file; strings of special tokens in a text are ordinary text."""
+def library_encoder(path: str, pattern: str, specials_as_text: bool = False) -> byte_bpe.WordEncoder:
+    """The tokenizer of a tokenizers file, as the library reads it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
+    made.encode_special_tokens = specials_as_text
     return byte_bpe.WordEncoder(made, pattern)
 
 
+def n_shards(df: DataFrame, text: str) -> int:
+    """Shards of SHARD_BYTES of text, or enough smaller ones for all cores."""
+    size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // SHARD_BYTES), min(4 * cores, size // LEAST_BYTES))
+
+
 def write(
-    df: DataFrame, folder: str, tokenizer: str, pattern: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, shards: int | None = None
+    df: DataFrame, folder: str, tokenizer: str, pattern: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, shards: int | None = None, specials_as_text: bool = False
 ) -> list[dict]:
     """Tokenise every text and write the records under ``folder``; returns the manifest, a row for each shard."""
-    spark = df.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    importable(df.sparkSession)
+    n = shards or n_shards(df, text)
     ordered = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = ordered.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text").alias("of_text"), F.monotonically_increasing_id().alias("row")]  # equal rows may stand in any order
+    ordered = ordered.select(*order, "text").repartitionByRange(n, "doc_id", "of_text", "row").sortWithinPartitions("doc_id", "of_text", "text").select("doc_id", "text")
     end = np.array([end_id], "<u4")
 
     def run(batches):
-        encoder, task = library_encoder(tokenizer, pattern), TaskContext.get()
+        encoder, task = library_encoder(tokenizer, pattern, specials_as_text), TaskContext.get()
         shard, out, offsets, total, size = task.partitionId(), None, [], 0, 0
         system, root = file_system(folder)
         name, mark = f"shard-{shard:05d}", f"{task.taskAttemptId()}.part"
@@ -126,7 +142,7 @@ def write(
                     ids = np.concatenate([np.frombuffer(found, "<u4"), end])
                     framed = frame(pack(i, ids))
                     out.write(framed)
-                    offsets.append(size)
+                    offsets.append((size, total))
                     size += len(framed)
                     total += len(ids)
         if out is not None:
@@ -146,6 +162,25 @@ def write(
     return manifest
 
 
+def read_index(system, path: str, first: int, last: int) -> np.ndarray:
+    """Offsets, and ids before, of the records from ``first`` to before ``last``, or to the end of the shard."""
+    with system.open_input_file(path) as f:
+        f.seek(16 * first)
+        return np.frombuffer(f.read(16 * (last - first)), "<u8").reshape(-1, 2)
+
+
+def limited(f, size: int):
+    """A function that reads the next bytes of a file, no more than ``size`` in all."""
+
+    def read(n: int) -> bytes:
+        nonlocal size
+        n = min(n, size)
+        size -= n
+        return f.read(n) if n else b""
+
+    return read
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The records, checked: ``doc_id``, ``start`` (ids of all records before), ``n_tokens``, ``ids`` (little-endian unsigned 32-bit)."""
     return _read(spark, folder, "doc_id long, start long, n_tokens long, ids binary", lambda ids: pa.array([x.tobytes() for x in ids], pa.binary()))
@@ -157,22 +192,29 @@ def read_checksums(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, folder: str, schema: str, column) -> DataFrame:
+    importable(spark)
     system, root = file_system(folder)
     with system.open_input_stream(f"{root}/_manifest.json") as f:
         manifest = json.loads(f.read())
     starts = np.cumsum([0, *(r["n_ids"] for r in manifest)]).tolist()
-    shards = [(r["shard"], r["file"], start) for r, start in zip(manifest, starts, strict=False)]
-    rows = spark.createDataFrame(shards, "shard int, file string, start long")
-    if shards:
-        rows = rows.repartitionByRange(len(shards), "shard")
+    shards = [(r["file"], r["n_records"], r["bytes"], start) for r, start in zip(manifest, starts, strict=False)]
+    rows = spark.createDataFrame(shards, "file string, n_records long, bytes long, start long")
+    parts = F.greatest(F.lit(1), F.least(F.ceil(F.col("bytes") / SPLIT_BYTES), F.col("n_records")))
+    rows = rows.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    n = sum(max(1, min(-(-b // SPLIT_BYTES), k)) for _, k, b, _ in shards)
+    if n:
+        rows = rows.repartitionByRange(n, "start", "part")
 
     def run(batches):
         system, root = file_system(folder)
         for batch in batches:
             for row in batch.to_pylist():
-                start, held, size = row["start"], [], 0
-                with system.open_input_stream(f"{root}/{row['file']}") as f:
-                    for data in frames(f.read):
+                first, last = (row["n_records"] * (row["part"] + k) // row["parts"] for k in (0, 1))
+                index = read_index(system, f"{root}/{row['file'][:-4]}.idx", first, last + 1)
+                start, held, size = row["start"] + int(index[0, 1]), [], 0
+                with system.open_input_file(f"{root}/{row['file']}") as f:
+                    f.seek(int(index[0, 0]))
+                    for data in frames(limited(f, (int(index[-1, 0]) if last < row["n_records"] else row["bytes"]) - int(index[0, 0]))):
                         i, ids = unpack(data)
                         held.append((i, start, len(ids), ids))
                         start += len(ids)
@@ -203,16 +245,10 @@ def shuffled(folder: str, seed: int) -> Iterator[tuple[int | None, np.ndarray]]:
     index, files = {}, {}
     for name, k in order:
         if name not in files:
-            with system.open_input_stream(f"{root}/{name[:-4]}.idx") as f:
-                index[name] = np.frombuffer(f.read(), "<u8")
             files[name] = system.open_input_file(f"{root}/{name}")
-        files[name].seek(int(index[name][k]))
-        (length,) = struct.unpack("<Q", files[name].read(8))
-        files[name].seek(int(index[name][k]))
-        left = [length + 16]
-
-        def once(_, f=files[name], left=left):
-            n, left[0] = left[0], 0
-            return f.read(n) if n else b""
-
-        yield unpack(next(frames(once)))
+            index[name] = read_index(system, f"{root}/{name[:-4]}.idx", 0, files[name].size())
+        at, f = int(index[name][k, 0]), files[name]
+        f.seek(at)
+        (length,) = struct.unpack("<Q", f.read(8))
+        f.seek(at)
+        yield unpack(next(frames(limited(f, length + 16))))

@@ -202,7 +202,7 @@ def test_ids_are_those_of_rank_merging(tik):
 
 def test_cached_path_equals_the_library(tik):
     encoder = records.library_encoder(JSON, PATTERN)
-    texts = [t for t in ODD if t is not None] + random_texts(4)
+    texts = [t for t in ODD if t is not None] + random_texts(4) + SPECIAL
     for t, ids in zip(texts, encoder.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
@@ -238,17 +238,27 @@ def test_round_trip_digests(spark, tik):
 # Records
 
 
-def test_records_round_trip(spark, tmp_path):
+SPECIAL = ["<|endoftext|>", "a <|endoftext|>b\n<|endoftext|><|endoftext|> 🙂", "<|endoftext", "<|ENDOFTEXT|>"]
+
+
+@pytest.mark.parametrize("specials_as_text", [False, True])
+def test_records_round_trip(spark, tmp_path, monkeypatch, specials_as_text):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
-    texts = [*ODD, "same", "same"]
+    if specials_as_text:
+        library.encode_special_tokens = True
+    else:
+        assert library.encode("<|endoftext|>", add_special_tokens=False).ids == [50256]
+    monkeypatch.setattr(records, "SPLIT_BYTES", 400)
+    texts = [*ODD, "same", "same", *SPECIAL, "a long text " * 300]
     docs = docs_of(spark, texts, start="x", ids="y").orderBy(F.desc("doc_id"))
     folder = f"file://{tmp_path}/records"
-    manifest = records.write(docs, folder, JSON, PATTERN, shards=3)
+    manifest = records.write(docs, folder, JSON, PATTERN, shards=3, specials_as_text=specials_as_text)
     assert sum(r["n_records"] for r in manifest) == len(texts)
-    found, start = sorted(records.read(spark, folder).collect()), 0
+    frame = records.read(spark, folder)
+    assert frame.rdd.getNumPartitions() > len(manifest)
+    found, start = sorted(frame.collect()), 0
     sums = {r["doc_id"]: r for r in records.read_checksums(spark, folder).collect()}
     for r, t in zip(found, texts, strict=True):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -260,6 +270,19 @@ def test_records_round_trip(spark, tmp_path):
     assert sorted(mixed) == [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in found]
 
 
+def test_shards_go_by_bytes_and_split_a_common_id(spark, tmp_path, monkeypatch):
+    rows = [(7, f"text {i} of many") for i in range(400)] + [(i, "other") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert records.n_shards(docs, "text") == 1 and records.n_shards(docs.limit(0), "text") == 1
+    monkeypatch.setattr(records, "SHARD_BYTES", 1000)
+    assert records.n_shards(docs, "text") == -(-sum(len(t) for _, t in rows) // 1000)
+    manifest = records.write(docs, f"{tmp_path}/r", JSON, PATTERN)
+    assert len(manifest) > 6 and max(r["n_records"] for r in manifest) < 300
+    found = sorted(records.read(spark, f"{tmp_path}/r").collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in found] == sorted(i for i, _ in rows)
+    assert [r["start"] for r in found] == [0, *np.cumsum([r["n_tokens"] for r in found]).tolist()[:-1]]
+
+
 def test_records_without_an_id_come_first_and_nothing_is_nothing(spark, tmp_path):
     docs = spark.createDataFrame([(5, "a"), (None, "b"), (5, "a")], "doc_id long, text string")
     records.write(docs, f"{tmp_path}/r", JSON, PATTERN, shards=2)
