@@ -257,17 +257,39 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     vectors |= {i: [0.5] * 8 for i in range(150, 260)}  # ties at one distance
     vectors |= {260: [], 261: [1.0, -2.0], 262: [30.0] * 8}
     rows = [(i, v, "x") for i, v in vectors.items()]
-    rows += [rows[20], (300, None, "x"), (320, [1.0, None], "x"), (340, [float("nan")] * 8, "x"), (360, [float("inf")] * 8, "x"), (None, [1.0], "x")]
+    rows += [rows[20], rows[20], rows[21], (40, [0.25] * 8, "x"), (40, [0.25] * 8, "x")]  # repeated rows, and one vec_id of several vectors
+    valid = rows[:]
+    rows += [(300, None, "x"), (320, [1.0, None], "x"), (340, [float("nan")] * 8, "x"), (360, [float("inf")] * 8, "x"), (None, [1.0], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    whole = {i: [math.floor(64 * float(np.float32(x))) for x in v] for i, v in vectors.items()}
+    whole = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v, _ in valid]
     expected = []
-    for q in (i for i in whole if i % 20 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=False)), i) for i, v in whole.items() if i != q)
-        expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:20])]
+    for n, (q, own) in enumerate(whole):
+        if q % 20 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for m, (i, v) in enumerate(whole) if m != n)
+            expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:20])]
     found = pivot_topk.top_k(df, F.col("vec_id") % 20 == 0)
     assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
 
 
+def test_rows_dealt_grow_with_visits(spark, monkeypatch):
+    monkeypatch.setattr(pivot_topk, "CELL_ROWS", 16)
+    monkeypatch.setattr(pivot_topk, "QUERY_ROWS", 4)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(8, 6)) * 5
+    rows = [(i, (centres[i % 8] + rng.normal(size=6) * 0.1).round(3).tolist()) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    dealt, own = [], pivot_topk.Index._dealt
+
+    def counted(self, blocks):
+        dealt.append((own(self, blocks).count(), self.keyed.count(), int(blocks.max())))
+        return own(self, blocks)
+
+    monkeypatch.setattr(pivot_topk.Index, "_dealt", counted)
+    pivot_topk.top_k(df, F.col("vec_id") % 160 == 0, k=3).collect()  # all queries are of one cluster
+    (first, n, _), (second, _, blocks) = dealt
+    assert first < n / 4 and second < n and blocks >= 1
+
+
 def test_top_k_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<float>")
     found = pivot_topk.top_k(df, F.col("vec_id") % 20 == 0)
