@@ -42,12 +42,14 @@ from remitlens.llm.components import components
 SEED = 42
 #: Shingles whose bits are unpacked at once; rows that are compared at once.
 CHUNK, BLOCK = 1 << 14, 512
-#: Tiles hold an even share of the fingerprints, but rows between these bounds.
-TILES, TILE_ROWS = 48, (1 << 13, 1 << 20)
-#: Links that a task holds before it reduces them to a forest.
-HELD_LINKS = 1 << 20
+#: Rows of a tile at most; fewer, down to the first number, where all would make less than TILES tiles.
+TILES, TILE_ROWS = 48, (1 << 13, 1 << 18)
+#: Links that a task holds before it reduces them to a forest; rows of a batch that is sent to tasks.
+HELD_LINKS, DEALT_ROWS = 1 << 20, 1 << 16
+#: Standard deviations that random fingerprints lie beyond the radius in the lanes that are compared first.
+CLEAR = 3.5
 #: Texts of a candidate component that are compared exactly with as many others in a task.
-VERIFY_ROWS = 1 << 11
+VERIFY_ROWS = 1 << 10
 
 
 def shingle_hashes(tokens: list[bytes], size: int, hasher) -> np.ndarray:
@@ -194,6 +196,12 @@ def _apart(low: np.ndarray, high: np.ndarray, i: int, radius: int) -> np.ndarray
     return (gap[:, 0] > radius) | (gap[:, 1:].sum(axis=1) > radius)
 
 
+def first_lanes(lanes: int, radius: int) -> int:
+    """Lanes after which few pairs of random fingerprints are still within the radius; at least two, if there are as many."""
+    clear = (n for n in range(min(lanes, 2), lanes) if 32 * n - CLEAR * (16 * n) ** 0.5 >= radius)
+    return next(clear, lanes)
+
+
 def compare_tiles(prints: np.ndarray, sizes: np.ndarray, tile: np.ndarray, radius: int, similarity: float, largest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links between two tiles, or within one if ``tile`` is constant; rows come by tile.
 
@@ -221,8 +229,9 @@ def compare_tiles(prints: np.ndarray, sizes: np.ndarray, tile: np.ndarray, radiu
         for j in np.flatnonzero(~skip):
             rows, cols = slice(starts[i], ends[i]), slice(starts[j], ends[j])
             differ = np.bitwise_count(columns[0][rows, None] ^ columns[0][None, cols])
+            differ = differ.astype(np.uint16) if whole > 3 else differ
             for k in range(1, whole):
-                differ = differ + np.bitwise_count(columns[k][rows, None] ^ columns[k][None, cols])
+                differ += np.bitwise_count(columns[k][rows, None] ^ columns[k][None, cols])
             a, b = np.nonzero(differ <= radius)
             a, b = a + starts[i], b + starts[j]
             keep = a < b
@@ -237,6 +246,38 @@ def compare_tiles(prints: np.ndarray, sizes: np.ndarray, tile: np.ndarray, radiu
     return forest.edges()
 
 
+def _spans(ordered: DataFrame, bounds: np.ndarray, by_size: bool) -> np.ndarray:
+    """Least and greatest value of what orders the rows of every tile, a row for each tile: population, or numbers of shingles."""
+    columns = ("least", "most") if by_size else ("population", "population")
+
+    def run(batches):
+        for batch in batches:
+            tile = np.searchsorted(bounds, np.asarray(batch.column("order_key")), "right")
+            at, of = np.unique(tile, return_inverse=True)
+            low, high = np.full(len(at), np.iinfo(np.int64).max), np.full(len(at), -1)
+            np.minimum.at(low, of, np.asarray(batch.column(columns[0])))
+            np.maximum.at(high, of, np.asarray(batch.column(columns[1])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (at, low, high)], names=["tile", "low", "high"])
+
+    out = np.column_stack([np.full(len(bounds) + 1, np.iinfo(np.int64).max), np.full(len(bounds) + 1, -1)])
+    rows = ordered.select("order_key", *dict.fromkeys(columns)).mapInArrow(run, "tile long, low long, high long")
+    for r in rows.groupBy("tile").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
+        out[r["tile"]] = r["low"], r["high"]
+    return out
+
+
+def _partners(spans: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last tile that each tile is compared with; tiles are in ascending order of what their spans are of.
+
+    All tiles between are compared too, which loses no pair that the spans allow.
+    """
+    n = len(spans)
+    reach = spans[:, 1] / similarity if similarity else spans[:, 1] + radius
+    least = np.minimum.accumulate(spans[::-1, 0])[::-1]
+    last = np.maximum(np.maximum.accumulate(np.searchsorted(least, reach, "right") - 1), np.arange(n))
+    return np.searchsorted(last, np.arange(n)), last
+
+
 def links(reps: DataFrame, radius: int, similarity: float = 0.0) -> DataFrame:
     """``(fingerprint, first_id, least, most)``, the latter of shingles, to edges ``(a, b)`` that connect exactly what links of ``radius`` connect."""
     ordered = cut(_with_order(reps, by_size=similarity > 0))
@@ -245,28 +286,29 @@ def links(reps: DataFrame, radius: int, similarity: float = 0.0) -> DataFrame:
     tiles = max(1, -(-n // rows))
     cuts = [i / tiles for i in range(1, tiles)]
     bounds = (ordered.agg(F.percentile_approx("order_key", cuts, 20 * tiles + 10000)).first()[0] if cuts else None) or []
-    at = F.array(*map(F.lit, bounds)).cast("array<bigint>")
-    tiled = ordered.withColumn("tile", F.size(F.filter(at, lambda x: x <= F.col("order_key"))))
-    stats = tiled.groupBy("tile").agg(*(f(c).alias(f"{f.__name__}_{c}") for f, c in ((F.min, "population"), (F.max, "population"), (F.min, "least"), (F.max, "most"))))
-    stats = {r["tile"]: r for r in stats.collect()}
-
-    def near(x, y) -> bool:
-        return (
-            max(x["min_population"], y["min_population"]) - min(x["max_population"], y["max_population"]) <= radius
-            and x["max_most"] >= similarity * y["min_least"]
-            and y["max_most"] >= similarity * x["min_least"]
-        )
-
-    pairs = [[min(i, j) * tiles + max(i, j) for j in range(tiles) if i in stats and j in stats and near(stats[i], stats[j])] for i in range(tiles)]
-    partner = F.array(*(F.array(*map(F.lit, p)).cast("array<bigint>") for p in pairs))
-    dealt = tiled.select("fingerprint", "least", "most", "order_key", "tile", F.explode(F.element_at(partner, F.col("tile") + 1)).alias("pair"))
+    bounds = np.array(sorted(set(bounds)), np.int64)
+    low, high = _partners(_spans(ordered, bounds, similarity > 0), radius, similarity)
+
+    def deal(batches):
+        for batch in batches:
+            tile = np.searchsorted(bounds, np.asarray(batch.column("order_key")), "right")
+            times = high[tile] - low[tile] + 1
+            rows = np.repeat(np.arange(len(tile)), times)
+            other = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times - low[tile], times)
+            own = tile[rows]
+            for some in (slice(i, i + DEALT_ROWS) for i in range(0, len(rows), DEALT_ROWS)):
+                made = [pa.array(x, pa.int32()) for x in (np.minimum(own[some], other[some]), np.maximum(own[some], other[some]), own[some])]
+                yield pa.RecordBatch.from_arrays([*made, *batch.take(pa.array(rows[some])).columns], names=["first", "second", "tile", *batch.schema.names])
+
+    kind = "first int, second int, tile int, fingerprint string, least long, most long, order_key long"
+    dealt = ordered.select("fingerprint", "least", "most", "order_key").mapInArrow(deal, kind)
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by([("tile", "ascending"), ("order_key", "ascending"), ("fingerprint", "ascending")])
         a, b = compare_tiles(_unhex(group["fingerprint"]), np.array(group["least"]), np.array(group["tile"]), radius, similarity, np.array(group["most"]))
         return pa.table({"a": group["fingerprint"].take(pa.array(a)).cast(pa.string()), "b": group["fingerprint"].take(pa.array(b)).cast(pa.string())})
 
-    return dealt.groupBy("pair").applyInArrow(compare, "a string, b string")
+    return dealt.groupBy("first", "second").applyInArrow(compare, "a string, b string")
 
 
 def _representatives(prints: DataFrame) -> DataFrame:
