@@ -1,24 +1,28 @@
 """Language-model scores of whole documents by a small gated recurrent network in numpy.
 
 Tokens are words, A-Z lower-cased, and one end per document. The softmax over the
-next token is factored by class: the ``HEAD`` most frequent words stand in classes of
+next token is factored by class: the most frequent words, the head, stand in classes of
 like frequency, in which a second softmax chooses; every other word belongs to a
 class by its last bytes, in which it has its share of the training counts, each
-plus a half and a half more for all words that training never saw.
+plus a half and a half more for all words that training never saw. The head grows
+with the square root of the number of distinct words, between the bounds ``HEAD``.
 
 Training is truncated backpropagation through windows of tokens, the state carried
-from one window to the next and reset where a document starts. A first model is
-trained on the driver on at most ``WARM_DOCS`` documents, then every task trains it
-further on all training documents of its partition and the results are averaged
-by their numbers of tokens. Scoring carries the state through a whole document.
-
-Counts of training words are exact and cover all training documents. The ``COMMON``
-most frequent words of at most ``WORD_BYTES`` bytes go to the workers, a bounded list;
+from one window to the next and reset where a document starts. All training documents
+are dealt by a hash of doc_id and text to rounds, and within a round to shards of about
+``SHARD_TOKENS`` tokens. In a round every shard trains the network that the round before
+left, and the results are averaged by their numbers of tokens, in a fixed order; so
+scores do not depend on how the input is split into partitions. Small corpora are passed
+over several times. Scoring carries the state through a whole document.
+
+Counts of training words are exact and cover all training documents. The most frequent
+words, at most ``COMMON`` of at most ``COMMON_BYTES`` bytes in all, go to the workers;
 counts of all other words reach the documents that hold them by a join.
 
 Null texts are empty: their one token is the end. Without training documents all
 counts are zero. Repeated rows are scored alike, and each counts in training; rows
-with a null doc_id count as an empty doc_id. An empty table gives no rows.
+with a null doc_id count as an empty doc_id. An empty table gives no rows. Texts of any
+length are scored and trained on whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,27 +31,33 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import pairwise, repeat
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from remitlens.llm.common import ascii_lower, cut
-
-HEAD, HEAD_CLASS, TAIL_CLASSES, HIDDEN = 1024, 64, 32, 16
-COMMON, WORD_BYTES, COUNT_BUCKETS = 1 << 17, 64, 8
-WARM_DOCS, WARM_CHARS, WARM_ROUNDS = 600, 40_000, 2
-#: Lanes and window of training on the driver, of training in tasks, of scoring.
-WARM_SHAPE, TASK_SHAPE, SCORE_SHAPE = (32, 16), (256, 32), (512, 64)
-WARM_RATE, TASK_RATE, CLIP = 0.02, 0.004, 1.0
+from remitlens.llm.common import ascii_lower, cut, importable
+
+#: Words of the head, at least and at most; words of a class of the head; classes of other words; units of the state.
+HEAD, HEAD_CLASS, TAIL_CLASSES, HIDDEN = (1024, 1 << 14), 64, 32, 16
+COMMON, COMMON_BYTES, COUNT_BUCKETS = 1 << 17, 1 << 24, 8
+#: Of eight parts of the training documents, the first part that each round takes.
+ROUNDS = (0, 1, 4, 8)
+#: Lanes, window and step size of each round; those of scoring.
+SHAPES, RATES, SCORE_SHAPE, CLIP = ((64, 16), (128, 32), (256, 32)), (0.03, 0.02, 0.01), (512, 64), 1.0
+#: Tokens of a shard; of all training at least, by passing over a small corpus at most MOST_PASSES times; shards of a round at most.
+SHARD_TOKENS, LEAST_TOKENS, MOST_PASSES, MOST_SHARDS = 1 << 20, 1 << 22, 8, 1 << 14
+#: Results of shards that one task averages.
+FAN = 32
+#: How many times longer windows of few lanes are.
+LONGER = 8
 #: Tokens of a lane at least, in training, so that few documents still give many steps.
 LANE_TOKENS = 2048
 #: Tokens that a worker gathers before it runs the network; few, and a long document among them leaves most lanes idle.
-BATCH_TOKENS = 1 << 21
+TRAIN_TOKENS, BATCH_TOKENS = 1 << 20, 1 << 21
 #: Words that a worker counts before it hands on their counts.
 COUNTED_WORDS = 1 << 18
 END = ""
@@ -63,6 +73,11 @@ def tail_class(word: bytes) -> int:
     return crc32(word[-2:]) % TAIL_CLASSES
 
 
+def head_size(n_distinct: int) -> int:
+    """Words of the head: the power of two about the square root of all distinct words, between the bounds."""
+    return min(HEAD[1], max(HEAD[0], 1 << round(math.log2(max(n_distinct, 1)) / 2)))
+
+
 class Vocabulary:
     """The common words with their counts, and what classes hold. Index 0 is the end; indexes under ``head`` are head words."""
 
@@ -70,7 +85,7 @@ class Vocabulary:
         self.n_tokens, self.n_distinct = n_tokens, n_distinct
         counts = dict(common)
         words = [END, *(w for w, _ in common if w != END)]
-        self.head = min(HEAD, len(words))
+        self.head = min(head_size(n_distinct), len(words))
         self.index = {w.encode(): i for i, w in enumerate(words) if i}
         self.count = np.array([counts.get(w, 0) for w in words], float)
         self.log_count = np.log10(self.count + 0.5)
@@ -128,7 +143,8 @@ def windows(docs: list[np.ndarray], start: int, shape: tuple[int, int]) -> Itera
     """Windows (inputs, targets, fresh, place) of shape time by lane over the documents' symbols.
 
     fresh marks where a document starts; place numbers all tokens in the documents' order, -1 beyond a lane's end.
-    A window spans the lanes that are not over, which are the first.
+    A window spans the lanes that are not over, which are the first; the fewer they are, the more time it spans, up to
+    LONGER times the shape's, as each step costs its overhead however few lanes take it.
     """
     lengths = [len(d) for d in docs]
     lanes = lanes_of(lengths, shape[0])
@@ -139,9 +155,10 @@ def windows(docs: list[np.ndarray], start: int, shape: tuple[int, int]) -> Itera
         inputs = np.concatenate([x for i in lane for x in (first, docs[i][:-1])])
         place = np.concatenate([np.arange(at[i], at[i + 1], dtype=np.int32) for i in lane])
         rows.append((inputs.astype(np.int32, copy=False), np.concatenate([docs[i] for i in lane]), place))
-    for t in range(0, loads[0] if loads else 0, shape[1]):
+    t, steps = 0, 0
+    while loads and (t := t + steps) < loads[0]:
         live = sum(1 for x in loads if x > t)
-        steps = min(shape[1], loads[0] - t)
+        steps = min(shape[1] * min(LONGER, len(lanes) // live), loads[0] - t)
         inputs, targets, place = (np.full((steps, live), fill, np.int32) for fill in (start, 0, -1))
         for k in range(live):
             n = min(steps, loads[k] - t)
@@ -269,32 +286,51 @@ class Trainer:
         self.first, self.second = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
         self.steps, self.tokens = 0, 0
 
-    def learn(self, docs: list[np.ndarray]) -> None:
-        h = np.zeros((0, HIDDEN), np.float32)
+    def learn(self, docs: list[np.ndarray], passes: int = 1) -> None:
+        for _ in range(passes if docs else 0):
+            self._pass(docs)
+
+    def _pass(self, docs: list[np.ndarray]) -> None:
+        """Steps are taken over half a full window's tokens at least; where only long documents are left, over several windows'."""
+        h, n, grads = np.zeros((0, HIDDEN), np.float32), 0, {k: np.zeros_like(x) for k, x in self.p.items()}
         lanes = min(self.shape[0], max(32, sum(map(len, docs)) // LANE_TOKENS))
         for k, (inputs, targets, fresh, place) in enumerate(windows(docs, self.v.start, (lanes, self.shape[1]))):
             live = inputs.shape[1]
             h = np.zeros((live, HIDDEN), np.float32) if not k else h[:live]
-            grads = {k: np.zeros_like(x) for k, x in self.p.items()}
             states, kept = forward(self.p, inputs, fresh, h)
             h = states[-1]
             real = place.ravel() >= 0
             back = np.zeros((real.size, HIDDEN), np.float32)
             _, back[real] = output(self.p, self.v, states.reshape(-1, HIDDEN)[real], targets.ravel()[real], grads)
             backward(self.p, inputs, fresh, kept, back.reshape(states.shape), grads)
-            self._step(grads, int(real.sum()))
+            n += int(real.sum())
+            if n >= lanes * self.shape[1] // 2:
+                self._step(grads, n)
+                n = 0
+        if n:
+            self._step(grads, n)
 
     def _step(self, grads: dict, n: int) -> None:
+        """One step by the gradients of n tokens, which are then set to zero."""
         self.steps += 1
         self.tokens += n
         norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values())) / n
         scale = np.float32(1 / n * min(1.0, CLIP / (norm + 1e-12)))
+        rate = np.float32(self.rate * math.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps))
         for k, g in grads.items():
             g *= scale
-            self.first[k] += 0.1 * (g - self.first[k])
-            self.second[k] += 0.001 * (g * g - self.second[k])
-            rate = self.rate * math.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
-            self.p[k] -= rate * self.first[k] / (np.sqrt(self.second[k]) + 1e-8)
+            self.first[k] *= np.float32(0.9)
+            self.first[k] += np.float32(0.1) * g
+            g *= g
+            g *= np.float32(0.001)
+            self.second[k] *= np.float32(0.999)
+            self.second[k] += g
+            np.sqrt(self.second[k], out=g)
+            g += np.float32(1e-8)
+            np.divide(self.first[k], g, out=g)
+            g *= rate
+            self.p[k] -= g
+            g.fill(0)
 
 
 def log_likelihoods(p: dict, v: Vocabulary, docs: list[np.ndarray]) -> np.ndarray:
@@ -349,67 +385,94 @@ def count_words(train: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The vocabulary of a table of counts.
 
-    Words are common from the least bucket of counts on that leaves at most COMMON of them, so only these
-    and a histogram of a few hundred buckets come to the driver, and nothing is sorted.
+    Words are common from the least bucket of counts on that leaves at most COMMON of them and COMMON_BYTES bytes,
+    so only these and a histogram of a few hundred buckets come to the driver, and nothing is sorted.
     """
     bucket = F.floor(F.log2("c") * COUNT_BUCKETS).cast("int")
-    short = F.octet_length("word") <= WORD_BYTES
-    held = counts.groupBy(bucket.alias("bucket")).agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(short).alias("short")).collect()
-    n_tokens, n_distinct, left, least = sum(r["n"] for r in held), sum(r["v"] for r in held), COMMON, 1 << 20
+    held = counts.groupBy(bucket.alias("bucket")).agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.octet_length("word")).alias("size")).collect()
+    n_tokens, n_distinct, left, size, least = sum(r["n"] for r in held), sum(r["v"] for r in held), COMMON, COMMON_BYTES, 1 << 20
     for r in sorted(held, key=lambda r: -r["bucket"]):
-        left -= r["short"]
-        if left < 0:
+        left, size = left - r["v"], size - r["size"]
+        if left < 0 or size < 0:
             break
         least = r["bucket"]
-    common = counts.where(short & (bucket >= least)).toArrow().to_pylist()
+    common = counts.where(bucket >= least).toArrow().to_pylist()
     common = sorted(((r["word"], r["c"]) for r in common), key=lambda x: (-x[1], x[0]))
-    head = [w for w, _ in common if w != END][: HEAD - 1]
     last = F.crc32(F.substring(F.col("word").cast("binary"), -2, 2)) % TAIL_CLASSES
     mass = counts.where(F.col("word") != END).groupBy(last.alias("k")).agg(F.sum(F.col("c") + 0.5).alias("m")).collect()
     tail_mass = [0.0] * TAIL_CLASSES
     for r in mass:
         tail_mass[r["k"]] = r["m"]
     known = dict(common)
-    for w in head:
+    for w in [w for w, _ in common if w != END][: head_size(n_distinct) - 1]:
         tail_mass[tail_class(w.encode())] -= known[w] + 0.5
     return Vocabulary(common, n_tokens, n_distinct, [max(0.0, m) for m in tail_mass])
 
 
-def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
-    """Parameters learnt from all documents (doc_id, text)."""
-    spark = docs.sparkSession
-    order = F.xxhash64("doc_id")
-    short = docs.where(F.char_length("text") <= WARM_CHARS)
-    sample = short.orderBy(order, "doc_id", F.xxhash64("text")).limit(WARM_DOCS).select("text").toArrow()["text"].to_pylist()
-    warm = Trainer(initial(v), v, WARM_SHAPE, WARM_RATE)
-    if sample:
-        symbols = [v.symbols(split(t))[1] for t in sample]
-        for _ in range(WARM_ROUNDS):
-            warm.learn(symbols)
-    names, shared = sorted(warm.p), spark.sparkContext.broadcast((warm.p, v))
-    shapes = {k: warm.p[k].shape for k in names}
+def _average(rows: list[tuple[int, int, bytes]]) -> tuple[int, np.ndarray]:
+    """Tokens and sum of (shard, tokens, sum), added in order of the shards."""
+    rows = sorted(rows)
+    total = np.zeros(len(rows[0][2]) // 8)
+    for _, _, x in rows:
+        total += np.frombuffer(x)
+    return sum(n for _, n, _ in rows), total
+
+
+def train_round(docs: DataFrame, v: Vocabulary, p: dict[str, np.ndarray], shards: int, shape: tuple[int, int], rate: float, passes: int) -> dict[str, np.ndarray]:
+    """Parameters after every shard of ``docs`` (shard, place, text) has trained ``p`` and the results are averaged."""
+    names, shapes, shared = sorted(p), {k: x.shape for k, x in p.items()}, docs.sparkSession.sparkContext.broadcast((p, v))
 
     def run(batches):
         p, v = shared.value
-        own = Trainer(p, v, TASK_SHAPE, TASK_RATE)
-        for _, held in _batched(batches, v, "text"):
-            own.learn([s for _, s, _ in held])
-        if own.tokens:
-            part = TaskContext.get().partitionId() % 64
+
+        def done(own, shard):
             values = [(own.p[k].astype(float) * own.tokens).tobytes() for k in names]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array([part] * len(names), pa.int32()), pa.array([own.tokens] * len(names), pa.int64()), pa.array(values, pa.binary())], names=["name", "part", "tokens", "total"]
-            )
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((names, pa.string()), ([shard] * len(names), pa.int64()), ([own.tokens] * len(names), pa.int64()), (values, pa.binary()))], names=["name", "shard", "tokens", "total"])
+
+        own, at, held, size = None, None, [], 0
+        for batch in batches:
+            for shard, text in zip(batch.column("shard").to_pylist(), batch.column("text"), strict=True):
+                if shard != at:
+                    if own is not None:
+                        own.learn(held, passes)
+                        yield done(own, at)
+                    own, at, held, size = Trainer(p, v, shape, rate), shard, [], 0
+                held.append(v.symbols(split(text.as_py()))[1])
+                size += len(held[-1])
+                if size >= TRAIN_TOKENS:
+                    own.learn(held, passes)
+                    held, size = [], 0
+        if own is not None:
+            own.learn(held, passes)
+            yield done(own, at)
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py()) for x in group["total"])
-        return pa.table([[group["name"][0].as_py()], [group["part"][0].as_py()], [sum(group["tokens"].to_pylist())], [total.tobytes()]], schema=rows)
+        tokens, total = _average(list(zip(*(group[c].to_pylist() for c in ("shard", "tokens", "total")), strict=True)))
+        return pa.table([[group["name"][0].as_py()], [group["up"][0].as_py()], [tokens], [total.tobytes()]], schema=added)
+
+    kind = "name string, shard long, tokens long, total binary"
+    added = pa.schema([("name", pa.string()), ("shard", pa.int64()), ("tokens", pa.int64()), ("total", pa.binary())])
+    sums = docs.repartition(shards, "shard").sortWithinPartitions("shard", "place").select("shard", "text").mapInArrow(run, kind)
+    while shards > FAN:
+        shards = -(-shards // FAN)
+        sums = sums.withColumn("up", F.floor(F.col("shard") / FAN)).groupBy("name", "up").applyInArrow(add, kind)
+    found: dict[str, list] = {}
+    for r in sums.collect():  # at most FAN sets of parameters
+        found.setdefault(r["name"], []).append((r["shard"], r["tokens"], bytes(r["total"])))
+    means = {k: _average(rows) for k, rows in found.items()}
+    return {k: (total / n).reshape(shapes[k]).astype(np.float32) for k, (n, total) in means.items()} or p
+
 
-    kind = "name string, part int, tokens long, total binary"
-    rows = pa.schema([("name", pa.string()), ("part", pa.int32()), ("tokens", pa.int64()), ("total", pa.binary())])
-    sums = docs.select("text").mapInArrow(run, kind).groupBy("name", "part").applyInArrow(add, kind).groupBy("name").applyInArrow(add, kind)
-    means = {r["name"]: (np.frombuffer(r["total"]) / r["tokens"]).reshape(shapes[r["name"]]).astype(np.float32) for r in sums.collect()}
-    return means if len(means) == len(names) else warm.p
+def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
+    """Parameters learnt from all documents (doc_id, text)."""
+    place = F.xxhash64("doc_id", "text")
+    part, spread = F.pmod(place, F.lit(ROUNDS[-1])), F.shiftright(place, 8)
+    p, passes = initial(v), min(MOST_PASSES, max(1, -(-LEAST_TOKENS // max(v.n_tokens, 1))))
+    for (first, last), shape, rate in zip(pairwise(ROUNDS), SHAPES, RATES, strict=True):
+        shards = min(MOST_SHARDS, max(1, round(v.n_tokens * (last - first) / ROUNDS[-1] / SHARD_TOKENS)))
+        taken = docs.where((part >= first) & (part < last)).select(F.pmod(spread, F.lit(shards)).alias("shard"), place.alias("place"), "text")
+        p = train_round(taken, v, p, shards, shape, rate, passes)
+    return p
 
 
 def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, p: dict[str, np.ndarray]) -> DataFrame:
@@ -461,6 +524,7 @@ def held_out():
 
 def score_corpus(docs: DataFrame) -> DataFrame:
     """Every document's scores; counts and network are learnt from those that are not held out."""
+    importable(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     learnt = docs.where(~held_out())
     counts = cut(count_words(learnt))

@@ -96,7 +96,7 @@ def vocabulary_of(texts):
 
 
 def test_gradients(monkeypatch):
-    monkeypatch.setattr(gru_lm, "HEAD", 6)
+    monkeypatch.setattr(gru_lm, "HEAD", (6, 6))
     monkeypatch.setattr(gru_lm, "HEAD_CLASS", 4)
     texts = ["a b c d e f g a b", "b a q q", "z"]
     v = vocabulary_of(texts)
@@ -129,7 +129,7 @@ def test_gradients(monkeypatch):
 
 
 def test_next_symbol_probabilities_sum_to_one(monkeypatch):
-    monkeypatch.setattr(gru_lm, "HEAD", 6)
+    monkeypatch.setattr(gru_lm, "HEAD", (6, 6))
     monkeypatch.setattr(gru_lm, "HEAD_CLASS", 4)
     v = vocabulary_of(["a b c d e f g h i", "a b a"])
     p = gru_lm.initial(v)
@@ -169,6 +169,65 @@ def test_scores_against_brute_force(spark, monkeypatch):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def naive_score(p, v, text, counts):
+    """Log10 probability of the text by the network's equations, one word at a time."""
+    p = {k: x.astype(float) for k, x in p.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h, last, total = np.zeros(gru_lm.HIDDEN), v.start, 0.0
+    for word in [*text.encode().lower().split(), None]:
+        z, r = (sigmoid(p["into"][k][last] + h @ p["state"][k]) for k in (0, 1))
+        new = np.tanh(p["into"][2][last] + r * (h @ p["state"][2]))
+        h = z * (h - new) + new
+        at = 0 if word is None else v.index.get(word, 10**9)
+        logits = h @ p["class"] + p["class_bias"]
+        of_class = logits - np.log(np.exp(logits).sum())
+        if at < v.head:
+            group = at // gru_lm.HEAD_CLASS
+            inside = h @ p["word"][group] + p["word_bias"][group]
+            total += of_class[group] + inside[at % gru_lm.HEAD_CLASS] - np.log(np.exp(inside).sum())
+            last = at
+        else:
+            k = gru_lm.tail_class(word)
+            total += of_class[v.groups + k] + math.log((counts[word] + 0.5) / v.tail_mass[k])
+            last = v.head + k
+    return total / math.log(10)
+
+
+def test_scores_do_not_depend_on_partitions_and_equal_a_naive_pass(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "SHARD_TOKENS", 2000)
+    monkeypatch.setattr(gru_lm, "LEAST_TOKENS", 1)
+    monkeypatch.setattr(gru_lm, "FAN", 3)
+    monkeypatch.setattr(gru_lm, "COMMON", 3000)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    seen, own = {}, gru_lm.train
+    monkeypatch.setattr(gru_lm, "train", lambda d, v: seen.setdefault(len(seen), (v, own(d, v)))[1])
+    runs = [{r["doc_id"]: r["score"] for r in gru_lm.score_corpus(docs.repartition(n)).collect()} for n in (1, 8)]
+    assert all(np.array_equal(seen[0][1][k], seen[1][1][k]) for k in seen[0][1])
+    assert runs[0] == pytest.approx(runs[1], rel=1e-5)
+    counts, texts = Counter(), {r["doc_id"]: r["text"] for r in docs.collect()}
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            counts.update(t.encode().lower().split())
+    v, p = seen[0]
+    for i in sorted(texts)[:25]:
+        assert runs[0][i] == pytest.approx(naive_score(p, v, texts[i], counts), rel=1e-3)
+
+
+def test_long_texts_and_words_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "COMMON_BYTES", 4000)
+    word = "long" * 100
+    docs = docs_of(spark, [f"{word} a {word} b " * 50, "c d " * 25_000, word, None], row="x", score="y")
+    found = {r["doc_id"]: r for r in gru_lm.score_corpus(docs).collect()}
+    assert [found[i]["n_tokens"] for i in range(4)] == [201, 50_001, 2, 1] and all(math.isfinite(r["score"]) for r in found.values())
+    learnt = docs.where("doc_id < 3")
+    v = gru_lm.vocabulary(gru_lm.count_words(learnt))
+    assert v.index[word.encode()] < v.head  # whatever its length
+
+
+def test_the_head_grows_with_the_vocabulary():
+    assert [gru_lm.head_size(n) for n in (0, 10**5, 10**7, 10**10)] == [1024, 1024, 4096, 1 << 14]
+
+
 @pytest.mark.parametrize("texts", [[], [None]])
 def test_scores_of_next_to_nothing(spark, texts):
     found = gru_lm.score_corpus(docs_of(spark, texts)).collect()
