@@ -405,6 +405,72 @@ def test_names_of_wrappers_lose_no_article(page):
     assert html_mincut.main_text(page) == LONG
 
 
+SHORT = "A point."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<form action=/post><input type=hidden name=x><nav><a href=/>Home</a></nav><div class=content><h1>A title of it</h1><p>{LONG}</p><p>{LONG}</p></div><input name=q></form>", f"A title of it\n\n{LONG}\n\n{LONG}"),
+        (f"<form><article><p>{LONG}</p></article></form>", LONG),
+        (f"<article><p>{LONG}</p><form><p>Your mail, please:</p><input name=mail><button>Send it now</button></form></article>", LONG),
+        (f"<div class='content menu-open'><p>{LONG}</p></div>", LONG),
+        ("<article><p>Take <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> as it is, which suffices.</p></article>", "Take x=2 as it is, which suffices."),
+        (f"<article><h2 id='comments-on-method'>Comments on method</h2><p>{LONG}</p></article>", f"Comments on method\n\n{LONG}"),
+        (f"<article><p>{LONG[:60]}<script>x('</p>')</script>{LONG[60:]}</p></article>", LONG),
+        (f"<article><p>{LONG}</p><ul><li><a href=/x>A link of the text</a></li><li>{SHORT}</li></ul><p>{LONG}</p></article>", f"{LONG}\n\nA link of the text\n\n{SHORT}\n\n{LONG}"),
+        (f"<div><ul><li><a href=/a>Alpha</a></li><li><a href=/b>Beta</a></li></ul></div><div><h1>A title of it</h1><p>{LONG}</p><p>{SHORT}</p><p>{LONG}</p></div><div>© 2024 Site</div>", f"A title of it\n\n{LONG}\n\n{SHORT}\n\n{LONG}"),
+        (f"<article><header><h1>A title of it</h1></header><p>{LONG}</p><footer><a href=/t>Tag</a></footer></article>", f"A title of it\n\n{LONG}"),
+        (f"<main><p>{LONG}</p><section class=comments><h3>Comments</h3><p>{LONG[3:]}</p></section></main>", LONG),
+    ],
+)
+def test_main_text_of_odd_markup(page, text):
+    assert html_mincut.main_text(page) == text
+
+
+def stripped(page):
+    """The page with nothing that tells its elements apart but paragraphs, headings and lists."""
+    import re
+
+    return re.sub(r"<(/?)(?:article|nav|footer|header|aside|main|section|div)[^>]*>", r"<\1div>", page)
+
+
+def test_the_cut_takes_what_its_sign_would_not():
+    page = html_mincut.Page(f"<div><p>{LONG}</p><div>Ah.</div><p>{LONG}</p></div><div><a href=/a>Alpha</a></div>")
+    odds = html_mincut.text_odds(page.blocks, html_mincut.FALLBACK)
+    side = html_mincut.content_side(odds, html_mincut.smoothness(page))
+    assert [o > 0 for o in odds] == [True, False, True, False] and side == [True, True, True, False]
+
+
+def test_cuts_of_stripped_pages_are_least():
+    for r in first_rows("pages"):
+        page = html_mincut.Page(stripped(r["html"])[:2600])
+        page.blocks = page.blocks[:11]
+        odds = [a + b for a, b in zip(html_mincut.text_odds(page.blocks, html_mincut.FALLBACK), page.evidence, strict=False)]
+        edges = html_mincut.smoothness(page)
+
+        def cost(side):
+            return sum(max(o, 0) if not s else max(-o, 0) for o, s in zip(odds, side, strict=True)) + sum(w for a, b, w in edges if side[a] != side[b])
+
+        least = min(cost(s) for s in product((True, False), repeat=len(odds)))
+        assert cost(html_mincut.content_side(odds, edges)) == pytest.approx(least)
+
+
+def first_rows(name, n=25):
+    import pyarrow.parquet as pq
+
+    return pq.read_table(f"{SMALL}/{name}.parquet").slice(0, n).to_pylist()
+
+
+def test_stripped_pages_give_their_article_by_what_others_teach(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    weights = html_mincut.fit(pages)
+    assert not np.array_equal(weights, html_mincut.FALLBACK) and np.array_equal(weights, html_mincut.fit(pages.repartition(3)))
+    assert np.array_equal(html_mincut.fit(pages.limit(0)), html_mincut.FALLBACK)
+    for r in pages.collect():
+        assert html_mincut.main_text(stripped(r["html"]), weights) == html_mincut.main_text(r["html"], weights)
+
+
 def test_odd_pages(spark):
     htmls = [None, "", "just text", "<p>a<p>b", "<" * 500, "<div>" * 3000 + "deep", "<p>" * 3000 + "x", PAGE, PAGE]
     df = spark.createDataFrame([(i, f"u{i}", h, "clash") for i, h in enumerate(htmls)], "page_id long, url string, html string, TEXT string")
