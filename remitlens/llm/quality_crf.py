@@ -5,19 +5,26 @@ before and after it. The marginal probabilities of *good* that forward-backward
 gives, weighted by line length, make the document's share of good text, and a
 logistic curve fitted to labelled documents turns that share into a score.
 
-The field is fitted on at most ``SAMPLE_DOCS`` labelled documents of at most
-``SAMPLE_LINES`` lines each, those with the least hash of their doc_id; lines
-take their document's label. Scoring covers every line of every document.
+The field is fitted on at most ``SAMPLE_DOCS`` labelled documents, those with the
+least hash of their doc_id, and at most ``SAMPLE_LINES`` consecutive lines of each, so
+a labelled document of any length counts. Lines take their document's label. They form
+chains of their document, and once more chains in which lines of one document are
+followed by lines of another, as if they were one text; so the field sees labels change
+from line to line, and can tell the good lines of a document from its bad ones. Scoring
+covers every line of every document.
 
 Null texts are empty, and an empty text is one empty line, which is scored like
 any other. Without labels of both kinds every score is the share of good labels,
 or 0.5 without any. A doc_id that is labelled repeatedly counts as good only if
-all its labels are. Repeated documents get equal scores; an empty table gives none.
+all its labels are; rows and labels without a doc_id teach nothing. Repeated documents
+get equal scores; an empty table gives none. Texts of any length are scored whole. A
+column of the score's name, in any case, is replaced; all others are kept.
 """
 
 from __future__ import annotations
 
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.llm.byte_bpe import pieces, with_columns_from
+from remitlens.llm.common import importable
 
-#: Bound of the labelled sample.
-SAMPLE_DOCS, SAMPLE_LINES = 4000, 2000
+#: Bound of the labelled sample: documents, and lines of each, so half a million lines in all; lines of a training chain of one document.
+SAMPLE_DOCS, SAMPLE_LINES, CHAIN_LINES = 4000, 128, 32
 #: Training: steps, step size, ridge penalty of the weights.
 STEPS, RATE, RIDGE = 200, 0.08, 1e-3
 
@@ -47,8 +55,8 @@ _SHARED = ("upper", "bar", "bang", "symbol", "digit", "repeats")
 _OWN = (*_SHARED, "stop", "space", "lead", "distinct", "word_length", "log_length", "again")
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines of all texts, lengths of the lines in code points, and lines of each text."""
+def own_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features that all lines of all texts have of their own, lengths of the lines in code points, and lines of each text."""
     lines_of = np.array([t.count("\n") + 1 for t in texts], np.int64)
     joined = "\n".join(texts)
     raw = np.frombuffer(joined.encode() + b"\n", np.uint8)
@@ -82,15 +90,39 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         "log_length": np.log1p(length) / 5,
         "again": again,
     }
-    own = np.column_stack([value[k] for k in _OWN])
-    first = np.zeros(len(lines), bool)
+    return np.column_stack([value[k] for k in _OWN]).astype(np.float32), length, lines_of
+
+
+def with_neighbours(own: np.ndarray, lines_of: np.ndarray) -> np.ndarray:
+    """All features of the lines of chains: their own, those that the lines before and after show, and whether they are first or last."""
+    first = np.zeros(len(own), bool)
     first[np.concatenate([[0], np.cumsum(lines_of)[:-1]])] = True
     last = np.append(first[1:], True)
     shared = own[:, : len(_SHARED)]
     before = np.where(first[:, None], 0, np.concatenate([shared[:1], shared[:-1]]))
     after = np.where(last[:, None], 0, np.concatenate([shared[1:], shared[-1:]]))
-    made = np.column_stack([np.ones(len(lines)), own, before, after, first, last])
-    return made.astype(np.float32), length, lines_of
+    return np.column_stack([np.ones(len(own)), own, before, after, first, last]).astype(np.float32)
+
+
+def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines of all texts, lengths of the lines in code points, and lines of each text."""
+    own, length, lines_of = own_features(texts)
+    return with_neighbours(own, lines_of), length, lines_of
+
+
+def chains(owns: list[np.ndarray], good: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, lines of each chain and labels of lines of the training chains of documents, given by their lines' own features.
+
+    Pieces of several lines stand alone and, in pairs, in a chain with the next document's piece.
+    """
+    pieces_of = [(own[i : i + CHAIN_LINES], g) for own, g in zip(owns, good, strict=True) for i in range(0, len(own), CHAIN_LINES)]
+    made = [[piece] for piece in pieces_of]
+    long = [piece for piece in pieces_of if len(piece[0]) > 1]
+    half = len(long) // 2
+    made += [[x, y] if i % 2 else [y, x] for i, (x, y) in enumerate(zip(long[:half], long[half:], strict=False))]
+    lines_of = np.array([sum(len(x) for x, _ in parts) for parts in made], np.int64)
+    label = np.concatenate([np.full(len(x), g) for parts in made for x, g in parts])
+    return with_neighbours(np.concatenate([x for parts in made for x, _ in parts]), lines_of), lines_of, label
 
 
 def marginals(scores: np.ndarray, lines_of: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,17 +156,17 @@ def marginals(scores: np.ndarray, lines_of: np.ndarray, step: np.ndarray) -> tup
     return alpha * beta, pairs, np.add.reduceat(log_sum, starts) if len(starts) else np.empty(0)
 
 
-def fit_field(features: np.ndarray, lines_of: np.ndarray, good: np.ndarray) -> dict:
-    """Weights of the field by gradient ascent on the conditional likelihood (Adam)."""
+def fit_field(features: np.ndarray, lines_of: np.ndarray, label: np.ndarray) -> dict:
+    """Weights of the field by gradient ascent on the conditional likelihood (Adam); ``label`` has each line's."""
     mean, spread = features.mean(axis=0), features.std(axis=0)
     mean[0], spread[0] = 0, 1
     spread[spread < 1e-6] = 1
     x = ((features - mean) / spread).astype(float)
-    label = np.repeat(good.astype(int), lines_of)
     seen = np.eye(2)[label]
-    seen_pairs = np.zeros((2, 2))
-    for k in (0, 1):
-        seen_pairs[k, k] = (lines_of[good == k] - 1).sum()
+    inner = np.ones(len(label), bool)
+    inner[np.cumsum(lines_of) - 1] = False  # the last line of a chain has no next
+    inner = np.flatnonzero(inner)
+    seen_pairs = np.bincount(2 * label[inner] + label[inner + 1], minlength=4).reshape(2, 2)
     values = [np.zeros((x.shape[1], 2)), np.zeros((2, 2))]
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     for i in range(1, STEPS + 1):
@@ -147,13 +179,17 @@ def fit_field(features: np.ndarray, lines_of: np.ndarray, good: np.ndarray) -> d
     return {"mean": mean, "spread": spread, "weights": values[0], "step": values[1]}
 
 
+def line_marginals(model: dict, features: np.ndarray, lines_of: np.ndarray) -> np.ndarray:
+    """Probability that each line is good, given all lines of its document."""
+    x = (features - model["mean"]) / model["spread"]
+    return marginals(x @ model["weights"], lines_of, model["step"])[0][:, 1]
+
+
 def good_share(model: dict, features: np.ndarray, length: np.ndarray, lines_of: np.ndarray) -> np.ndarray:
     """Each document's share of good text: its lines' marginals weighted by length."""
-    x = (features - model["mean"]) / model["spread"]
-    marginal, _, _ = marginals(x @ model["weights"], lines_of, model["step"])
     starts = np.concatenate([[0], np.cumsum(lines_of)])[:-1]
     weight = length + 1.0
-    return np.add.reduceat(weight * marginal[:, 1], starts) / np.add.reduceat(weight, starts)
+    return np.add.reduceat(weight * line_marginals(model, features, lines_of), starts) / np.add.reduceat(weight, starts)
 
 
 def _logit(share: np.ndarray) -> np.ndarray:
@@ -178,32 +214,33 @@ def fit_curve(share: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality 0 or 1)."""
+    importable(docs.sparkSession)
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-    marked = marked.groupBy("doc_id").agg(F.min("quality").alias("good"))
+    marked = marked.groupBy("doc_id").agg(F.min("quality").alias("good")).join(docs.select("doc_id"), "doc_id", "left_semi")
     order = F.xxhash64("doc_id")
     sample = marked.orderBy(order, "doc_id").limit(SAMPLE_DOCS)
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def make(batch):
         for piece, texts in pieces(batch, "text"):
-            features, length, lines_of = line_features(texts)
-            cuts = np.cumsum(lines_of)
-            rows = [
-                (features[b - n : b].tobytes(), length[b - n : b].astype(np.int64).tobytes()) if n <= SAMPLE_LINES else (None, None)
-                for b, n in zip(cuts.tolist(), lines_of.tolist(), strict=True)
-            ]
-            yield piece, [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())]
-
-    rows = with_columns_from(found, "features binary, lengths binary", make).where("features is not null")
-    rows = sorted(rows.select("doc_id", "good", "features", "lengths").collect(), key=lambda r: (r["doc_id"], r["features"]))[:SAMPLE_DOCS]
-    good = np.array([r["good"] for r in rows], int)
-    if len(set(good.tolist())) < 2:
-        return {"constant": float(good.mean()) if len(good) else 0.5}
+            own, length, lines_of = own_features(texts)
+            parts = []
+            for t, b, n in zip(texts, np.cumsum(lines_of).tolist(), lines_of.tolist(), strict=True):
+                start = b - n + crc32(t.encode()) % max(1, n - SAMPLE_LINES + 1)
+                parts.append(slice(start, min(b, start + SAMPLE_LINES)))
+            yield piece, [pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (own, length.astype(np.int64))]
+
+    rows = with_columns_from(found, "features binary, lengths binary", make).select("doc_id", "good", "features", "lengths")
+    rows = rows.orderBy(order, "doc_id", F.xxhash64("features"), "features").limit(SAMPLE_DOCS).collect()
+    good = [r["good"] for r in rows]
+    if len(set(good)) < 2:
+        return {"constant": float(np.mean(good)) if good else 0.5}
     lengths = [np.frombuffer(r["lengths"], np.int64) for r in rows]
+    owns = [np.frombuffer(r["features"], np.float32).reshape(len(x), -1) for r, x in zip(rows, lengths, strict=True)]
+    model = fit_field(*chains(owns, good))
     lines_of = np.array([len(x) for x in lengths])
-    features = np.concatenate([np.frombuffer(r["features"], np.float32).reshape(len(x), -1) for r, x in zip(rows, lengths, strict=True)])
-    model = fit_field(features, lines_of, good)
-    model["curve"] = fit_curve(good_share(model, features, np.concatenate(lengths), lines_of), good)
+    whole = with_neighbours(np.concatenate(owns), lines_of)
+    model["curve"] = fit_curve(good_share(model, whole, np.concatenate(lengths), lines_of), np.array(good))
     return model
 
 

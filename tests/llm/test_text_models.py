@@ -55,6 +55,36 @@ def test_quality_on_held_out_documents(spark):
     assert right >= 0.95 * len(scored) and len(scored) > 10
 
 
+def test_a_spliced_document_has_lines_of_both_kinds(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_crf.fit(docs.where(~quality_crf.held_out()), labels)
+    rows = docs.where(quality_crf.held_out()).join(labels, "doc_id").orderBy("doc_id").select("text", "quality").collect()
+    good, bad = ([r["text"] for r in rows if r["quality"] == k and r["text"].count("\n") > 1][:12] for k in (1, 0))
+    assert len(bad) > 5
+    right = []
+    for g, b in zip(good, bad, strict=False):
+        for parts, kinds in (((g, b), (1, 0)), ((b, g), (0, 1))):
+            features, _, lines_of = quality_crf.line_features(["\n".join(parts)])
+            called = quality_crf.line_marginals(model, features, lines_of) > 0.5
+            truth = np.concatenate([np.full(t.count("\n") + 1, k) for t, k in zip(parts, kinds, strict=True)])
+            assert called.any() and not called.all()
+            right += (called == truth).tolist()
+    assert np.mean(right) > 0.85
+
+
+def test_long_labelled_documents_and_unlabelled_ids_leave_the_sample_whole(spark, monkeypatch):
+    monkeypatch.setattr(quality_crf, "SAMPLE_DOCS", 6)
+    rows = [(i, "\n".join(f"plain words of line {j}, as they come." for j in range(3000 if i == 0 else 2))) for i in range(3)]
+    rows += [(i, "\n".join("### BUY $$$ NOW !!! |||" for _ in range(3000 if i == 3 else 2))) for i in range(3, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 3)) for i in range(6)] + [(i, 1) for i in range(100, 400)], "doc_id long, quality int")
+    learnt, own = [], quality_crf.fit_field
+    monkeypatch.setattr(quality_crf, "fit_field", lambda x, n, y: learnt.append((len(x), y.mean())) or own(x, n, y))
+    found = {r["doc_id"]: r["score"] for r in quality_crf.score(docs, quality_crf.fit(docs, labels)).collect()}
+    assert learnt[0][0] >= 2 * quality_crf.SAMPLE_LINES and 0.4 < learnt[0][1] < 0.6
+    assert all((found[i] > 0.5) == (i < 3) for i in range(6))
+
+
 def test_quality_of_odd_texts_and_clashing_columns(spark):
     docs = docs_of(spark, [*ODD, "good line", "good line"], SCORE="x", lang=None)
     labels = spark.createDataFrame([(11, 1), (4, 0), (4, 1), (None, 1), (5, None)], "doc_id long, quality int")
