@@ -9,30 +9,38 @@ holds the counts of two bits in its halves.
 ``near`` finds all fingerprints within a Hamming radius by permuted block tables:
 the bits are cut into ``radius + 3`` blocks and each table is keyed by three of
 them. Fingerprints that differ in at most ``radius`` bits agree in three blocks at
-least, so some table holds them under one key.
+least, so some table holds them under one key. Only keys that several fingerprints share
+are joined, and those of a crowded key are dealt to groups, so no task compares all of them
+with each other.
 
 ``with_next`` gives each document the text that follows in ascending doc_id, the
 first text to the last. Documents are dealt into buckets of consecutive ids whose
 bounds are quantiles, and the first of each bucket is sent to the one before, so
-text is shuffled once and no task holds all documents.
+text is shuffled once and no task holds all documents. An id that fills several
+buckets is dealt to them by the hash of its texts, in which order its rows stand.
 
 Null texts are empty and have fingerprint zero, as have texts without words. A null
 doc_id comes before all others; rows that share a doc_id follow each other by the
 hash of their text. A single document follows itself. An empty table gives no rows.
+Texts of any length are fingerprinted whole; repeated rows are rows of their own. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
-from itertools import combinations
+from itertools import accumulate, combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from remitlens.llm.common import cut, text_or_empty
 
-#: Rows of a bucket, and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 512, 1 << 14
+#: Rows of a bucket, and the most buckets, of each of which a row comes to the driver; beyond, buckets grow.
+BUCKET_ROWS, MOST_BUCKETS = 512, 1 << 17
+#: Fingerprints of a block key that a group of the join holds.
+KEY_ROWS = 1024
 RADIUS = 3
 #: Blocks that the key of a table has.
 KEY_BLOCKS = 3
@@ -47,7 +55,8 @@ def _signed(x: int) -> int:
 
 
 def _longs(values: list[int]) -> Column:
-    return F.array(*map(F.lit, values)).cast("array<bigint>")
+    """A constant array, which is folded into the plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
 
 
 def _bucket(key: Column, bounds: list[int]) -> Column:
@@ -68,18 +77,26 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     bounds = []
     if buckets > 1:
         share = [i / buckets for i in range(1, buckets)]
-        bounds = sorted(set(rows.agg(F.percentile_approx("key", share, 20 * buckets).alias("b")).first()["b"]))
-    rows = rows.withColumn("bucket", _bucket(F.col("key"), bounds).cast("long"))
-    first = {r["bucket"]: r["key"] for r in rows.groupBy("bucket").agg(F.min("key").alias("key")).collect()}
+        bounds = sorted(rows.agg(F.percentile_approx("key", share, 20 * buckets).alias("b")).first()["b"])
+    crowded = {x: n + 1 for x, n in Counter(bounds).items() if n > 1}
+    bounds = sorted({*bounds, *(x + 1 for x in crowded)})
+    sizes = [1, *(crowded.get(x, 1) for x in bounds)]
+    starts = list(accumulate(sizes, initial=0))
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "of_key": _bucket(F.col("key"), bounds).cast("int") + 1})
+    size = F.element_at(_longs(sizes), F.col("of_key"))
+    place = F.least(size - 1, F.floor((F.col("hash") / 2.0**64 + 0.5) * size))  # grows with the hash
+    rows = rows.withColumn("bucket", F.element_at(_longs(starts), F.col("of_key")) + place)
+    first = {r["bucket"]: r["first"] for r in rows.groupBy("bucket").agg(F.min(F.struct("key", "hash")).alias("first")).collect()}
     held = sorted(first)
     before = {b: held[i - 1] for i, b in enumerate(held)}
     after = {b: held[(i + 1) % len(held)] for i, b in enumerate(held)}
-    of = lambda table: F.element_at(_longs([table.get(b, -1) for b in range(len(bounds) + 1)]), (F.col("bucket") + 1).cast("int"))
+    of = lambda table: F.element_at(_longs([table.get(b, -1) for b in range(starts[-1])]), (F.col("bucket") + 1).cast("int"))
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ghost"))
     ahead = F.struct(of(before).alias("bucket"), F.lit(1).alias("ghost"))
-    rows = rows.withColumn("to", F.explode(F.when(F.col("key") == of(first), F.array(own, ahead)).otherwise(F.array(own))))
-    rows = rows.select("doc_id", "text", "key", "to.bucket", "to.ghost")
-    order = Window.partitionBy("bucket").orderBy("ghost", "key", F.xxhash64("text"))
+    is_first = (F.col("key") == of({b: x["key"] for b, x in first.items()})) & (F.col("hash") == of({b: x["hash"] for b, x in first.items()}))
+    rows = rows.withColumn("to", F.explode(F.when(is_first, F.array(own, ahead)).otherwise(F.array(own))))
+    rows = rows.select("doc_id", "text", "key", "hash", "to.bucket", "to.ghost")
+    order = Window.partitionBy("bucket").orderBy("ghost", "key", "hash")
     number = F.shiftleft(F.col("bucket"), _ROW_BITS) + F.row_number().over(order)
     ends = F.lead("ghost").over(order) == 1
     rows = rows.withColumns({"row": number, "next_text": F.lead("text").over(order), "ends": ends}).where("ghost = 0")
@@ -132,13 +149,20 @@ def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFra
     """
     masks = tables(radius)
 
-    def keyed(df: DataFrame, name: str) -> DataFrame:
+    def keyed(df: DataFrame) -> DataFrame:
         entries = F.array(*(F.struct(F.lit(i).alias("t"), F.col("print").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)))
-        return df.select("print").where("print is not null").distinct().select(F.col("print").alias(name), F.explode(entries).alias("e")).select(name, "e.t", "e.k")
-
+        return df.select("print").where("print is not null").distinct().select("print", F.explode(entries).alias("e")).select("print", "e.t", "e.k")
+
+    same = queries is prints
+    held = keyed(prints)
+    shared = held.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > (1 if same else 0))
+    shared = shared.select("t", "k", F.ceil(F.col("n") / KEY_ROWS).cast("int").alias("parts"))
+    dealt = held.join(shared, ["t", "k"]).withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
+    asked = (held if same else keyed(queries)).join(shared, ["t", "k"]).withColumnRenamed("print", "query")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     differ = F.col("query").bitwiseXOR(F.col("print"))
     first = F.coalesce(*(F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)))
-    found = keyed(queries, "query").join(keyed(prints, "print"), ["t", "k"])
+    found = asked.drop("parts").join(dealt.drop("parts"), ["t", "k", "part"])
     found = found.where((F.col("query") != F.col("print")) & (F.bit_count(differ) <= radius) & (F.col("t") == first))
     return found.select("query", "print", F.bit_count(differ).alias("distance"))
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 from itertools import product
 
 import numpy as np
@@ -67,15 +68,37 @@ def test_fingerprints_of_odd_tables(spark):
     assert fingerprint.edited_likeness(odd.limit(0)).count() == 0
 
 
+def test_a_common_id_is_dealt_to_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 4)
+    rows = [(None, f"nobody's text {i}") for i in range(30)] + [(7, f"seventh {i}") for i in range(25)] + [(i, f"own text {i}") for i in range(20)] + [(7, "seventh 3"), (19, "own text 19")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    chain = fingerprint.with_next(docs).collect()
+    assert max(Counter(r["row"] >> 40 for r in chain).values()) <= 12
+    following = {r["row"]: r for r in chain}
+    at, seen = min(following), []
+    for _ in rows:
+        r = following[at]
+        assert r["next_text"] == following[r["next_row"]]["text"]
+        seen.append((r["doc_id"], r["text"]))
+        at = r["next_row"]
+    assert at == min(following) and sorted(seen, key=repr) == sorted(rows, key=repr)
+    ids = [-1 if i is None else i for i, _ in seen]
+    assert ids == sorted(ids)
+
+
+@pytest.mark.parametrize("crowd", [1024, 2])
 @pytest.mark.parametrize("radius", [0, 3, 5])
-def test_block_tables_miss_nothing(spark, radius):
+def test_block_tables_miss_nothing(spark, monkeypatch, radius, crowd):
+    monkeypatch.setattr(fingerprint, "KEY_ROWS", crowd)
     rng = random.Random(radius)
     base = [rng.getrandbits(64) for _ in range(20)]
     all_ = {b ^ sum(1 << i for i in rng.sample(range(64), k)) for b in base for k in range(7)}
     signed = [x - 2**64 if x >= 2**63 else x for x in all_]
     df = spark.createDataFrame([(x,) for x in [*signed, signed[0], None]], "print long")
-    found = {(r["query"] % 2**64, r["print"] % 2**64) for r in fingerprint.near(df, df, radius).collect()}
-    assert found == {(a, b) for a, b in product(all_, all_) if 0 < (a ^ b).bit_count() <= radius}
+    found = [(r["query"] % 2**64, r["print"] % 2**64) for r in fingerprint.near(df, df, radius).collect()]
+    apart = [(r["query"] % 2**64, r["print"] % 2**64) for r in fingerprint.near(df, df.limit(30), radius).collect()]
+    assert len(set(found)) == len(found) and set(apart) <= set(found)
+    assert {(a, b) for a, b in found if a in {x % 2**64 for x in signed[:30]}} >= set(apart) and set(found) == {(a, b) for a, b in product(all_, all_) if 0 < (a ^ b).bit_count() <= radius}
 
 
 def test_fingerprint_plan_runs_no_python(spark):
