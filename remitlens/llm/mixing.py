@@ -2,18 +2,22 @@
 
 A source's target is its share by weight of all words, but at most
 ``MAX_REPEATS`` times its own; what is above goes to the others by weight. Targets
-are apportioned in whole blocks of ``BLOCK_WORDS`` words: each next block goes to
-the source with the highest quotient target / (2 * blocks + 1). A source's
+are apportioned in whole blocks of ``BLOCK_WORDS`` words, or of fewer if the least target
+would have under ``LEAST_BLOCKS`` of them, so a small source is taken too: each next block
+goes to the source with the highest quotient target / (2 * blocks + 1). A source's
 documents are dealt by hash into shards of about ``SHARD_WORDS`` words, and its
 blocks are apportioned to its shards in the same way. In a shard the documents
 stand in seeded random order and their words are cut into blocks; every block is
 taken quota // blocks times, and quota % blocks of them, from a seeded place on,
 once more. No document is taken more than ``MAX_REPEATS`` times.
 
-A large source has many shards, so no task holds a whole source. Null texts have
-size 0; a null source is a source of its own, last in order; sources without
-words have target 0. Repeated rows are repeated documents. Reruns give equal
-results, whatever the partitioning.
+A large source has many shards, at most ``BUCKETS``, so no task holds a whole source;
+one task apportions a source's blocks to its shards, and a row for each source comes to the
+driver. Null texts have size 0 and texts of any length count whole; a null source is a
+source of its own, last in order; sources without words have target 0. Documents are
+dealt and ordered by doc_id and text, so those that have no doc_id or share one are dealt
+as others are. Repeated rows are repeated documents. Reruns give equal results, whatever the
+partitioning. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +30,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from remitlens.llm.common import WORD, cut, text_or_empty
+from remitlens.llm.common import WORD, cut, importable, text_or_empty
 
 WEIGHTS, MAX_REPEATS = (1, 2, 3), 3
-BLOCK_WORDS, SHARD_WORDS, SEED = 32, 1 << 18, 20240
+BLOCK_WORDS, LEAST_BLOCKS, SHARD_WORDS, SEED = 32, 16, 1 << 18, 20240
 #: Fine buckets of each source, of which shards are made.
 BUCKETS = 1 << 16
 
@@ -85,22 +89,29 @@ def n_words(text: str = "text") -> Column:
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
 
 
+def block_words(targets: Sequence[float]) -> int:
+    """Words of a block, so that every target has enough of them."""
+    least = min((t for t in targets if t > 0), default=0)
+    return int(max(1, min(BLOCK_WORDS, least // LEAST_BLOCKS)))
+
+
 def _source_plan(totals: list, weights: Sequence[float]) -> list[tuple]:
-    """Rows (source, source_size, target, seats, shards) from rows (source, source_size)."""
+    """Rows (source, source_size, target, seats, shards, block) from rows (source, source_size)."""
     totals = sorted(totals, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["source_size"] for r in totals]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))])
-    seats = sainte_lague(targets, round(sum(targets) / BLOCK_WORDS), [MAX_REPEATS * math.ceil(s / BLOCK_WORDS) for s in sizes])
+    block = block_words(targets)
+    seats = sainte_lague(targets, round(sum(targets) / block), [MAX_REPEATS * math.ceil(s / block) for s in sizes])
     shards = [min(BUCKETS, 1 << max(0, math.ceil(math.log2(max(s, 1) / SHARD_WORDS)))) for s in sizes]
-    return [(r["source"], s, t, q, n) for r, s, t, q, n in zip(totals, sizes, targets, seats, shards, strict=True)]
+    return [(r["source"], s, t, q, n, block) for r, s, t, q, n in zip(totals, sizes, targets, seats, shards, strict=True)]
 
 
 def _shard_seats(rows: pd.DataFrame) -> pd.DataFrame:
     """The blocks of each shard of one source."""
     rows = rows.sort_values("shard")
-    sizes, seats = rows["shard_size"].tolist(), int(rows["seats"].iloc[0])
-    held = sainte_lague(sizes, seats, [MAX_REPEATS * math.ceil(s / BLOCK_WORDS) for s in sizes])
-    return rows.assign(quota=held)[["source", "shard", "shard_size", "quota", "source_size", "target"]]
+    sizes, seats, block = rows["shard_size"].tolist(), int(rows["seats"].iloc[0]), int(rows["block"].iloc[0])
+    held = sainte_lague(sizes, seats, [MAX_REPEATS * math.ceil(s / block) for s in sizes])
+    return rows.assign(quota=held)[["source", "shard", "shard_size", "quota", "source_size", "target", "block"]]
 
 
 def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -111,11 +122,13 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, text: str = "text"
     totals, one row a source, come to the driver.
     """
     spark = docs.sparkSession
-    bucket = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(SEED)), F.lit(BUCKETS))
-    sized = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, "doc_id", "source"])), n_words(text).alias("size")).withColumn("bucket", bucket)
+    importable(spark)
+    of_text = F.xxhash64("doc_id", text_or_empty(text)).alias("of_text")
+    sized = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, "doc_id", "source"])), n_words(text).alias("size"), of_text)
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("of_text", F.lit(SEED)), F.lit(BUCKETS)))
     fine = cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     totals = fine.groupBy("source").agg(F.sum("words").alias("source_size")).collect()
-    sources = spark.createDataFrame(_source_plan(totals, weights), "source string, source_size long, target double, seats long, shards long")
+    sources = spark.createDataFrame(_source_plan(totals, weights), "source string, source_size long, target double, seats long, shards long, block long")
 
     def with_source(df: DataFrame, other: DataFrame, *more: str) -> DataFrame:
         on = F.col("l.source").eqNullSafe(F.col("r.source"))
@@ -125,16 +138,16 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, text: str = "text"
 
     shard = F.pmod("bucket", "shards")
     shards = with_source(fine, sources).withColumn("shard", shard)
-    shards = shards.groupBy("source", "shard", "source_size", "target", "seats").agg(F.sum("words").alias("shard_size"))
-    quotas = shards.groupBy("source").applyInPandas(_shard_seats, "source string, shard long, shard_size long, quota long, source_size long, target double")
+    shards = shards.groupBy("source", "shard", "source_size", "target", "seats", "block").agg(F.sum("words").alias("shard_size"))
+    quotas = shards.groupBy("source").applyInPandas(_shard_seats, "source string, shard long, shard_size long, quota long, source_size long, target double, block long")
     quotas = cut(quotas)
 
     dealt = with_source(sized, sources.select("source", "shards")).withColumn("shard", shard).drop("shards", "bucket")
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(SEED + 1)), "doc_id", "size")
+    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("of_text", F.lit(SEED + 1)), "doc_id", "of_text", "size")
     placed = dealt.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     placed = with_source(placed, quotas, "shard").withColumn("start", F.col("end") - F.col("size"))
 
-    blocks = F.ceil(F.col("shard_size") / BLOCK_WORDS)
+    blocks = F.ceil(F.col("shard_size") / F.col("block"))
     first = F.pmod(F.xxhash64("source", "shard", F.lit(SEED + 2)), F.greatest(blocks, F.lit(1)))
     placed = placed.withColumn("blocks", blocks).withColumn("first", first).withColumn("copies", F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0).cast("long"))
     over = F.col("first") + F.col("quota") - F.col("copies") * F.col("blocks")
@@ -143,8 +156,8 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, text: str = "text"
         "spans",
         F.filter(
             F.array(
-                _overlap(F.col("first") * BLOCK_WORDS, F.least("over", "blocks") * BLOCK_WORDS),
-                _overlap(F.lit(0).cast("long"), (F.col("over") - F.col("blocks")) * BLOCK_WORDS),
+                _overlap(F.col("first") * F.col("block"), F.least("over", "blocks") * F.col("block")),
+                _overlap(F.lit(0).cast("long"), (F.col("over") - F.col("blocks")) * F.col("block")),
             ),
             lambda s: s["end"] > s["start"],
         ),
@@ -161,7 +174,7 @@ def _overlap(low: Column, high: Column) -> Column:
 
 
 #: Names that the plan gives columns of its own; columns of documents so named are set aside meanwhile.
-OWN_NAMES = frozenset("size source_size target copies spans taken run bucket shard shards shard_size quota start end blocks first over".split())
+OWN_NAMES = frozenset("size source_size target copies spans taken run bucket shard shards shard_size quota start end blocks first over block of_text seats".split())
 
 
 def apply(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:

@@ -248,6 +248,79 @@ def test_mix_is_near_its_targets(spark, monkeypatch, parts):
     assert hashlib.md5(repr(sorted((r["doc_id"], r["taken"]) for r in found)).encode()).hexdigest() == _mix_digest(spark)
 
 
+def naive_seats(claims, seats, most):
+    held = [0] * len(claims)
+    for _ in range(min(seats, sum(most))):
+        k = max((i for i in range(len(claims)) if held[i] < most[i]), key=lambda i: (claims[i] / (2 * held[i] + 1), -i))
+        held[k] += 1
+    return held
+
+
+@pytest.mark.parametrize("shard_words", [2000, 1 << 18])
+def test_mix_against_brute_force(spark, monkeypatch, shard_words):
+    """Words taken one block at a time; only Spark's hashes, which order documents, are taken as given."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", shard_words)
+    docs = mixture_docs(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
+    seed = F.lit(mixing.SEED)
+    hashed = docs.select("*", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("h"))
+    hashed = hashed.select("*", F.pmod(F.xxhash64("h", seed), F.lit(mixing.BUCKETS)).alias("b"), F.xxhash64("h", seed + 1).alias("o")).collect()
+    size = {r["doc_id"]: len([w for w in (r["text"] or "").encode().split()]) for r in hashed}
+    sources = sorted({r["source"] for r in hashed}, key=lambda x: (x is None, x or ""))
+    totals = [sum(size[r["doc_id"]] for r in hashed if r["source"] == x) for x in sources]
+    targets = mixing.water_fill(totals, [1 + i % 3 for i in range(len(sources))])
+    block = mixing.block_words(targets)
+    blocks_of = [-(-t // block) for t in totals]
+    seats = naive_seats(targets, round(sum(targets) / block), [3 * n for n in blocks_of])
+    taken = dict.fromkeys(size, 0)
+    for x, total, quota in zip(sources, totals, seats, strict=True):
+        shards = 1
+        while shards * shard_words < total:
+            shards *= 2
+        members = [[r for r in hashed if r["source"] == x and r["b"] % shards == k] for k in range(shards)]
+        held = [k for k in range(shards) if members[k]]
+        words = [[i for r in sorted(members[k], key=lambda r: (r["o"], r["doc_id"])) for i in [r["doc_id"]] * size[r["doc_id"]]] for k in held]
+        share = naive_seats([len(w) for w in words], quota, [3 * -(-len(w) // block) for w in words])
+        for k, of, q in zip(held, words, share, strict=True):
+            n = -(-len(of) // block)
+            if not n:
+                continue
+            (first,) = spark.range(1).select(F.pmod(F.xxhash64(F.lit(x).cast("string"), F.lit(k).cast("long"), seed + 2), F.lit(n).cast("long"))).first()
+            for j in range(q):
+                at = (first + j) % n
+                for i in of[at * block : (at + 1) * block]:
+                    taken[i] += 1
+    found = {r["doc_id"]: r for r in mixing.plan(docs).collect()}
+    assert {i: r["taken"] for i, r in found.items()} == taken and {i: r["size"] for i, r in found.items()} == size
+
+
+def test_sizes_and_targets_equal_sql(spark, duck):
+    """What SQL can express of the mix; its sources' targets stop once at three times their size and no more than that here."""
+    sql = r"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source),
+    f AS (SELECT *, weight * (SELECT sum(source_size) FROM s) / sum(weight) OVER () AS share FROM s),
+    c AS (SELECT *, share > 3 * source_size AS over FROM f),
+    t AS (SELECT source, source_size, CASE WHEN over THEN 3.0 * source_size ELSE weight * ((SELECT sum(source_size) FROM s) - coalesce(sum(3 * source_size) FILTER (WHERE over) OVER (), 0))
+          / sum(weight) FILTER (WHERE NOT over) OVER () END AS target FROM c)
+    SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source"""
+    assert same_result(queries.op9_mixing(spark, SMALL).select("doc_id", "size", "source_size", "target"), duck, sql)
+
+
+def test_small_sources_and_missing_ids_are_mixed_as_others(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1000)
+    rows = [(None, "big", f"words of a document number {i} " * 9) for i in range(300)] + [(1, "a tiny", "five words are all here"), (1, "a tiny", "two more"), (2, None, "one")]
+    rows += [(3, "long", "a very long text " * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = mixing.plan(docs, keep=("doc_id", "source")).collect()
+    for x in ("a tiny", None, "big", "long"):
+        of = [r for r in found if r["source"] == x]
+        assert sum(r["taken"] for r in of) == pytest.approx(of[0]["target"], abs=4)
+    taken = [r["taken"] for r in found if r["source"] == "big"]
+    assert max(taken) > 0 and sum(t > 0 for t in taken) * 3 * 54 >= sum(taken)
+    again = mixing.plan(docs.repartition(5), keep=("doc_id", "source")).collect()
+    assert Counter(map(tuple, ((r["source"], r["size"], r["taken"]) for r in again))) == Counter(map(tuple, ((r["source"], r["size"], r["taken"]) for r in found)))
+
+
 def _mix_digest(spark, kept={}):  # noqa: B006
     if not kept:
         found = mixing.plan(mixture_docs(spark)).collect()
