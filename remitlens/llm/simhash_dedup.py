@@ -24,7 +24,8 @@ component of more than ``VERIFY_ROWS`` texts is compared in pairs of parts.
 Null texts are empty. A text without words has fingerprint zero, linked like any
 other. Rows with a null doc_id are grouped, and a group of such rows alone has a
 null component_id. Repeated rows give repeated results; an empty table gives none.
-``keep_one`` keeps a row of every group, also of those of null or shared doc_ids.
+``keep_one`` keeps a row of every group, also of those of null or shared doc_ids. Texts of
+any length are hashed whole, and other columns are ignored or kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from remitlens.llm.common import cut, text_or_empty, words
+from remitlens.llm.common import cut, importable, text_or_empty, words
 from remitlens.llm.components import components
 
 SEED = 42
@@ -109,6 +110,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
                 names=["doc_id", "text_key", "fingerprint", "n_shingles"],
             )
 
+    importable(df.sparkSession)
     rows = df.select(F.col(doc_id).cast("long"), text_key(text), F.col(text))
     return rows.mapInArrow(run, "doc_id long, text_key string, fingerprint string, n_shingles long")
 
@@ -218,7 +220,7 @@ def compare_tiles(prints: np.ndarray, sizes: np.ndarray, tile: np.ndarray, radiu
     least = np.array([sizes[a:b].min() for a, b in zip(starts, ends, strict=True)])
     most = np.array([largest[a:b].max() for a, b in zip(starts, ends, strict=True)])
     columns = [np.ascontiguousarray(prints[:, k]) for k in range(lanes)]
-    whole = min(lanes, 2)
+    whole = first_lanes(lanes, radius)
     for i in range(len(starts)):
         skip = _apart(low, high, i, radius) | (most < similarity * least[i]) | (most[i] < similarity * least)
         skip[:i] = True
