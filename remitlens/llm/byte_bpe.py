@@ -7,7 +7,8 @@ pattern, are encoded independently of each other, so each worker encodes a word
 the first time it meets it and reuses the ids afterwards.
 
 Nulls are empty texts and empty texts have no ids. Texts of any length are
-encoded whole. Repeated rows give repeated results; other columns are kept.
+encoded whole. Repeated rows give repeated results; an empty table gives none. Columns
+of the names that are added, in any case, are replaced; all others are kept.
 """
 
 from __future__ import annotations

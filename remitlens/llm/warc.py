@@ -15,7 +15,8 @@ keep the HTTP header, hence the payload's length, and no payload.
 Null html is an empty payload. A null page_id never is the largest; payloads that
 only such pages have are all responses, and so are repeated rows of the largest
 page_id. Control characters of a URL are percent-encoded and a null URL is empty.
-An empty table gives no archives and no rows. Archives are written under a name
+An empty table gives no archives and no rows. Payloads of any length are one record
+each. Other columns are ignored, whatever their names. Archives are written under a name
 of the attempt and renamed; a task that runs again replaces its file.
 """
 
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitlens.llm.common import file_system, text_or_empty
+from remitlens.llm.common import file_system, importable, text_or_empty
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a split and of one read; decoded bytes that must show a header for a start to count.
@@ -151,6 +152,7 @@ def members(file, start: int, end: int) -> Iterator[bytes]:
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> list[dict]:
     """Write a record for every row of ``pages`` (page_id, url, html); returns the manifest, a row for each archive."""
+    importable(pages.sparkSession)
     html = text_or_empty("html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
     again = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("largest"), F.count("*").alias("n"))
@@ -190,6 +192,7 @@ def read(spark: SparkSession, folder: str, payload: bool = False, split_bytes: i
 
     The digest of every payload that is there is computed anew and compared with the record's.
     """
+    importable(spark)
     system, root = file_system(folder)
     with system.open_input_stream(f"{root}/_manifest.json") as f:
         manifest = json.loads(f.read())

@@ -9,7 +9,7 @@ from itertools import product
 import numpy as np
 import pytest
 import xxhash
-from conftest import SMALL, same_result
+from conftest import ROOT, SMALL, same_result
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -432,6 +432,35 @@ def test_archives_round_trip(spark, tmp_path, min_bytes):
         assert sorted(found, key=repr) == sorted(expected, key=repr)
 
 
+def test_payloads_longer_than_a_read(spark, tmp_path):
+    rng = random.Random(8)
+    long = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz<>é \n", k=3 * warc.READ_BYTES)) for _ in range(2)]
+    pages = spark.createDataFrame([(1, "u", long[0], 1), (2, "u", long[0], 1), (3, "u", long[1], 1), (4, "u", "short", 1)], "page_id long, url string, html string, payload_bytes int")
+    warc.write(pages.coalesce(1), f"{tmp_path}/w")
+    found = {r["page_id"]: r for r in warc.read(spark, f"{tmp_path}/w", payload=True, split_bytes=1 << 18).collect()}
+    assert [found[i]["record_type"] for i in range(1, 5)] == ["revisit", "response", "response", "response"] and found[1]["refers_to"] == 2
+    assert bytes(found[2]["payload"]).decode() == long[0] and bytes(found[3]["payload"]).decode() == long[1] and found[1]["payload_bytes"] == len(long[0].encode())
+
+
+def test_operators_reach_workers_without_the_entry(tmp_path):
+    """Frames of one's own, a driver started elsewhere."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+from remitlens.llm import simhash_dedup
+df = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "other")], "doc_id long, text string")
+print(sorted(r["component_id"] for r in simhash_dedup.groups(simhash_dedup.fingerprints(df), 2).collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd="/tmp", env=env, capture_output=True, text=True, timeout=200)
+    assert done.stdout.strip() == "[1, 1, 3]", done.stderr[-2000:]
+
+
 def test_archives_of_nothing(spark, tmp_path):
     pages, _ = pages_of(spark)
     assert warc.write(pages.limit(0), f"{tmp_path}/w") == [] and warc.read(spark, f"{tmp_path}/w").count() == 0
