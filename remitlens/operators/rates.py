@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from remitlens.functions import scalar as S
 from remitlens.params import CURRENCY_CODES, Params, Period
 
-#: Rows of daily rates, days times currencies, up to which they are sent to every task.
-BROADCAST_RATES = 100_000
+#: Rows of daily rates, days times currencies, up to which they are sent to every task; days with rates that come to the driver.
+BROADCAST_RATES, RATE_DAYS = 100_000, 20_000
 
 
 def as_of_days(days: DataFrame, rates: DataFrame) -> DataFrame:
     """``tx_date`` to ``rate_date``: the latest day with rates that is not later, else the earliest that there is.
 
-    Both sides are distinct calendar days, a few hundred a year, before they meet in one ordered pass.
+    The days with rates, a few hundred a year, become a constant that each asked day looks itself up in; were they
+    more than RATE_DAYS, both sides would meet in one ordered pass over distinct days.
     """
-    offered = rates.select("rate_date").distinct()
+    offered = rates.where(F.col("rate_date").isNotNull()).select("rate_date").distinct()
+    known = sorted(r["rate_date"] for r in offered.limit(RATE_DAYS + 1).collect())
+    if 0 < len(known) <= RATE_DAYS:
+        past = F.array_max(F.filter(F.split(F.lit(",".join(map(str, known))), ",").cast("array<int>"), lambda x: x <= F.col("tx_date")))
+        return days.where(F.col("tx_date").isNotNull()).select("tx_date").distinct().select("tx_date", F.coalesce(past, F.lit(known[0])).alias("rate_date"))
     line = days.select("tx_date").distinct().select(F.col("tx_date").alias("day"), F.lit(None).cast("int").alias("offer"))
     line = line.unionByName(offered.select(F.col("rate_date").alias("day"), F.col("rate_date").alias("offer")))
     line = line.groupBy("day").agg(F.max("offer").alias("offer"), F.count_if(F.col("offer").isNull()).alias("asked"))

@@ -5,9 +5,10 @@ A null never matches, so it goes to the side of those that do not.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +70,11 @@ def both_ends(edges: DataFrame) -> DataFrame:
     return edges.withColumn("end", F.explode(ends)).select("end.side", "end.bank", "end.account", *edges.columns)
 
 
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], fields: str) -> DataFrame:
+    """A user's function of whole batches of rows, for what columns cannot express; batches reach it as Arrow."""
+    return df.mapInArrow(lambda batches: map(function, batches), fields)
+
+
 def counted(tx: DataFrame, condition: Column) -> DataFrame:
     """One row: how many rows were processed, matched and not matched."""
     met = F.coalesce(condition, F.lit(False))

@@ -9,6 +9,8 @@ all of period 1 first, run in batch over the bronze table.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,3 +105,11 @@ def run_complete(aggregate: DataFrame, name: str, checkpoint: str) -> StreamingQ
     """Run a streaming aggregate over what has arrived; its result is the in-memory table ``name``."""
     writer = aggregate.writeStream.format("memory").queryName(name).outputMode("complete")
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def results(spark: SparkSession, transfers: str, accounts: str, quotes: DataFrame, p: Params, which: Iterable[str] = queries.FIVE) -> dict[str, DataFrame]:
+    """The chosen queries over all that has arrived in the tables of transfers and of accounts.
+
+    Q3 and Q4 need all of period 1 before their second input can be judged; the table holds both until then.
+    """
+    return queries.chosen(arrived(spark, transfers), arrived(spark, accounts, "seq"), quotes, p, which)

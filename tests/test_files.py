@@ -178,6 +178,22 @@ def test_csv_streams_number_by_arrival_and_add_nothing_twice(spark, tmp_path):
     assert ingest.arrived(spark, table).count() == 4
 
 
+def test_queries_over_what_has_arrived(spark, tmp_path):
+    """Period 2 arrives before period 1, whose averages it is compared with."""
+    late, early = GOOD.replace("2022/09/01", "2022/09/07").replace(" 10.50,US", "0.01,US"), line("a", 10)
+    (tmp_path / "tx").mkdir()
+    (tmp_path / "acc").mkdir()
+    (tmp_path / "acc" / "a.csv").write_text("Bank Name,Bank ID,Account Number,Entity ID,Entity Name\nOne,20,A,E,x\n")
+    ingest.accounts_from_csv(spark, str(tmp_path / "acc"), str(tmp_path / "banks"), str(tmp_path / "s0")).awaitTermination()
+    counts = []
+    for i, row in enumerate((late, early)):
+        (tmp_path / "tx" / f"{i}.csv").write_text(f"{HEAD}\n{row}\n")
+        ingest.transfers_from_csv(spark, str(tmp_path / "tx"), str(tmp_path / "table"), str(tmp_path / "s1")).awaitTermination()
+        made = ingest.results(spark, str(tmp_path / "table"), str(tmp_path / "banks"), files.rates_of(spark, []), Params(), ["q2", "q3"])
+        counts.append((made["q2"].first()["bank_name"], made["q3"].count()))
+    assert counts == [("One", 0), ("One", 1)]
+
+
 def test_account_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text("Bank Name,Bank ID,Account Number,Entity ID,Entity Name\nOne,1,A,E,x\n,2,B,E,y\n")

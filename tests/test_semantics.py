@@ -229,6 +229,25 @@ def test_transfers_are_not_shuffled_for_rates_or_averages(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
 
 
+def test_user_functions_of_batches(spark):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    tx = make(spark, (1, "a", 9, "b", 5.0), (2, "c", 9, "b", 6.0)).select("tx_id", "amount_paid")
+    doubled = routing.map_batches(tx, lambda b: pa.RecordBatch.from_arrays([b.column(0), pc.multiply(b.column(1), 2.0)], names=["tx_id", "twice"]), "tx_id long, twice double")
+    assert rows(doubled) == [(0, 10.0), (1, 12.0)]
+
+
+def test_as_of_days_by_lookup_and_by_one_pass(spark, monkeypatch):
+    days = spark.createDataFrame([(d,) for d in (20220801, 20220901, 20220902, 20221001, 20220902, None)], "tx_date int")
+    quotes = rates_of(spark, [(20220901, "EUR", 1.0), (20220905, "EUR", 1.0), (20220905, "GBP", 1.0)])
+    expected = [(20220801, 20220901), (20220901, 20220901), (20220902, 20220901), (20221001, 20220905)]
+    assert rows(rates.as_of_days(days, quotes)) == expected
+    monkeypatch.setattr(rates, "RATE_DAYS", 1)
+    assert [r for r in sorted(map(tuple, rates.as_of_days(days, quotes).collect()), key=str) if r[0]] == expected
+    assert rates.as_of_days(days, quotes.limit(0)).count() == 0
+
+
 def test_sorted_results(spark):
     tx = make(spark, (3, "a", 9, "b", 5.0), (1, "a", 9, "b", 4.0, "US Dollar", "Cash", "2022/09/01 09:00"), (2, "c", 9, "b", 6.0))
     from remitlens.operators import formats
