@@ -51,8 +51,10 @@ from remitlens.llm.common import file_system, importable
 MASK_DELTA = 0xA282EAD8
 #: Bytes that a reader fetches at once; of a shard that one task reads.
 READ_BYTES, SPLIT_BYTES = 1 << 22, 1 << 26
-#: Bytes of text of a shard; fewer where that would leave a small corpus to few tasks.
-SHARD_BYTES, LEAST_BYTES = 1 << 28, 1 << 22
+#: Bytes of text of a shard, up to MANY_SHARDS of them; of a shard where they would be more.
+SHARD_BYTES, LARGE_BYTES, MANY_SHARDS = 1 << 25, 1 << 29, 4096
+#: Least bytes of a shard, where few shards would leave cores idle.
+LEAST_BYTES = 1 << 22
 
 MANIFEST = "shard int, file string, n_records long, n_ids long, bytes long"
 
@@ -111,10 +113,11 @@ def library_encoder(path: str, pattern: str, specials_as_text: bool = False) ->
 
 
 def n_shards(df: DataFrame, text: str) -> int:
-    """Shards of SHARD_BYTES of text, or enough smaller ones for all cores."""
+    """Shards of SHARD_BYTES of text; larger ones where they would be very many, smaller ones where cores would be idle."""
     size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(1, -(-size // SHARD_BYTES), min(4 * cores, size // LEAST_BYTES))
+    plain = min(-(-size // SHARD_BYTES), max(MANY_SHARDS, -(-size // LARGE_BYTES)))
+    return max(1, plain, min(4 * cores, size // LEAST_BYTES))
 
 
 def write(

@@ -365,6 +365,10 @@ def test_shards_go_by_bytes_and_split_a_common_id(spark, tmp_path, monkeypatch):
     assert records.n_shards(docs, "text") == 1 and records.n_shards(docs.limit(0), "text") == 1
     monkeypatch.setattr(records, "SHARD_BYTES", 1000)
     assert records.n_shards(docs, "text") == -(-sum(len(t) for _, t in rows) // 1000)
+    monkeypatch.setattr(records, "MANY_SHARDS", 3)
+    monkeypatch.setattr(records, "LARGE_BYTES", 4000)
+    assert records.n_shards(docs, "text") == max(3, -(-sum(len(t) for _, t in rows) // 4000))
+    monkeypatch.setattr(records, "MANY_SHARDS", 4096)
     manifest = records.write(docs, f"{tmp_path}/r", JSON, PATTERN)
     assert len(manifest) > 6 and max(r["n_records"] for r in manifest) < 300
     found = sorted(records.read(spark, f"{tmp_path}/r").collect(), key=lambda r: r["start"])
