@@ -241,7 +241,7 @@ def test_a_client_can_be_aborted(spark, tmp_path):
     def slow():
         spark.sparkContext.setJobGroup("gone", "", interruptOnCancel=True)
         try:
-            spark.range(0, 10**13, numPartitions=4).selectExpr("sum(id * id % 7)").collect()
+            spark.range(0, 10**13, numPartitions=4).selectExpr("sum(id % 7)").collect()
         except Exception as e:  # noqa: BLE001
             done.append(str(e))
 
