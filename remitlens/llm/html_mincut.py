@@ -19,7 +19,8 @@ Names of classes and ids count as a whole: site-footer tells of a footer, has-si
 and menu-open of a state, category-social of a subject; a name of which only a part is
 against, as search-engines, is a hint. Ids of headings and paragraphs are anchors and tell
 nothing. A form tells only if its controls are many for its text. An article inside an
-element that is against counts only where the page has none outside such.
+element that is against counts only where the page has none outside such. What stands outside
+the articles of a page is against if they hold most of the text that nothing is against.
 
 Text of scripts, styles, comments, controls and the head is no block at all and breaks
 none. Character references are decoded, white space inside a block becomes one space,
@@ -60,7 +61,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ANCHORED = HEADINGS | frozenset("p li dt dd a span blockquote pre td th figure img".split())
 
 #: Evidence, as log odds: of elements that tell, of hints, of blocks outside a page's article, of those of a page without one.
-ARTICLE, MAIN, AGAINST_ODDS, PARTLY_ODDS, FOR_ODDS, OUTSIDE, UNMARKED = 2.5, 1.5, -4.0, -1.0, 1.0, -2.0, 1.0
+ARTICLE, MAIN, AGAINST_ODDS, PARTLY_ODDS, FOR_ODDS, OUTSIDE, UNMARKED = 2.5, 1.5, -4.0, -1.0, 1.0, -3.0, 1.0
 #: Bound of the classifier's log odds, either way.
 TEXT_ODDS = 2.5
 TELLING = frozenset("nav footer aside header dialog menu fieldset".split())
@@ -275,6 +276,9 @@ class Page:
             told, mark = self._told(b.node)
             self.evidence.append(told)
             self.landmark.append(mark)
+        inside = sum(len(b.text) for b, e, mark in zip(self.blocks, self.evidence, self.landmark, strict=True) if mark and e > 0)
+        if self.has_clear and inside >= sum(len(b.text) for b, mark in zip(self.blocks, self.landmark, strict=True) if not mark):
+            self.evidence = [e if mark else e + OUTSIDE for e, mark in zip(self.evidence, self.landmark, strict=True)]
 
     @staticmethod
     def _wrapped(node: Node) -> bool:
@@ -293,7 +297,7 @@ class Page:
             elif node.tells > 0:
                 found = (AGAINST_ODDS if self.has_clear and self._wrapped(node) else node.tells, node.serial)
             elif node.above is None:
-                found = (OUTSIDE if self.has_clear else 0.0 if self.marked else UNMARKED, 0)
+                found = (0.0 if self.marked else UNMARKED, 0)
             else:
                 told, mark = self._told_of(node.above)
                 found = (told, mark)

@@ -442,6 +442,16 @@ def test_payloads_longer_than_a_read(spark, tmp_path):
     assert bytes(found[2]["payload"]).decode() == long[0] and bytes(found[3]["payload"]).decode() == long[1] and found[1]["payload_bytes"] == len(long[0].encode())
 
 
+def test_no_folder_of_one_machine_stands_in_on_a_cluster():
+    from types import SimpleNamespace as Fake
+
+    from remitlens.llm import common
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(Fake(conf=Fake(get=lambda *_: None), sparkContext=Fake(master=master)))
+
+
 def test_operators_reach_workers_without_the_entry(tmp_path):
     """Frames of one's own, a driver started elsewhere."""
     import os
@@ -546,6 +556,8 @@ SHORT = "A point."
         (f"<article><p>{LONG}</p><ul><li><a href=/x>A link of the text</a></li><li>{SHORT}</li></ul><p>{LONG}</p></article>", f"{LONG}\n\nA link of the text\n\n{SHORT}\n\n{LONG}"),
         (f"<div><ul><li><a href=/a>Alpha</a></li><li><a href=/b>Beta</a></li></ul></div><div><h1>A title of it</h1><p>{LONG}</p><p>{SHORT}</p><p>{LONG}</p></div><div>© 2024 Site</div>", f"A title of it\n\n{LONG}\n\n{SHORT}\n\n{LONG}"),
         (f"<article><header><h1>A title of it</h1></header><p>{LONG}</p><footer><a href=/t>Tag</a></footer></article>", f"A title of it\n\n{LONG}"),
+        (f"<article><p>{LONG}</p><p>{LONG}</p></article><div><p>{LONG[3:]}</p></div>", f"{LONG}\n\n{LONG}"),
+        (f"<div><article><p>{SHORT}</p></article><div><p>{LONG}</p><p>{LONG}</p></div></div>", f"{SHORT}\n\n{LONG}\n\n{LONG}"),
         (f"<main><p>{LONG}</p><section class=comments><h3>Comments</h3><p>{LONG[3:]}</p></section></main>", LONG),
     ],
 )
