@@ -61,7 +61,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ANCHORED = HEADINGS | frozenset("p li dt dd a span blockquote pre td th figure img".split())
 
 #: Evidence, as log odds: of elements that tell, of hints, of blocks outside a page's article, of those of a page without one.
-ARTICLE, MAIN, AGAINST_ODDS, PARTLY_ODDS, FOR_ODDS, OUTSIDE, UNMARKED = 2.5, 1.5, -4.0, -1.0, 1.0, -3.0, 1.0
+ARTICLE, MAIN, AGAINST_ODDS, PARTLY_ODDS, FOR_ODDS, OUTSIDE, UNMARKED = 2.5, 1.5, -4.0, -1.0, 1.0, -3.0, 0.3
 #: Bound of the classifier's log odds, either way.
 TEXT_ODDS = 2.5
 TELLING = frozenset("nav footer aside header dialog menu fieldset".split())
@@ -87,8 +87,10 @@ OTHER_ARTICLES = frozenset("ad ads advert advertisement comment comments promo p
 #: Smoothness: of blocks with one parent, one grandparent, others; across the border of an element that tells; of later siblings.
 NEAR, FAR, APART, ACROSS, SIBLING = 1.6, 1.0, 0.3, 0.05, 0.6
 
+#: Blocks of which a fit takes all that they teach; it takes less of fewer.
+ENOUGH_BLOCKS = 200
 #: The sample that the classifier is fitted on: pages, blocks of a page; ridge penalty and steps of the fit.
-SAMPLE_PAGES, SAMPLE_BLOCKS, RIDGE, STEPS = 512, 256, 1.0, 25
+SAMPLE_PAGES, SAMPLE_BLOCKS, RIDGE, STEPS = 512, 256, 60.0, 25
 FEATURES = ("one", "length", "linked", "ends", "sentences", "commas", "digits", "upper", "symbols", "word_length", "paragraph", "heading", "item", "cell", "quote", "rights")
 #: Weights where there is nothing to learn from, and where learning starts.
 FALLBACK = np.array([-1.6, 1.4, -4.0, 0.5, 0.5, 10.0, -1.0, -1.0, -4.0, 0.0, 1.2, 1.6, -0.4, -0.2, 1.0, -4.0])
@@ -480,7 +482,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     mean, spread = x.mean(axis=0), x.std(axis=0)
     mean[0], spread = 0, np.where(spread < 1e-6, 1, spread)
     z = (x - mean) / spread
-    share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * min(len(y), 1000)
+    share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * 1000 * min(1.0, len(y) / ENOUGH_BLOCKS)
     start = FALLBACK * spread
     start[0] += mean @ FALLBACK
     w = start.copy()
