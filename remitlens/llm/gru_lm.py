@@ -31,12 +31,14 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import pairwise, repeat
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitlens.llm.common import ascii_lower, cut, importable
@@ -47,19 +49,17 @@ COMMON, COMMON_BYTES, COUNT_BUCKETS = 1 << 17, 1 << 24, 8
 #: Of eight parts of the training documents, the first part that each round takes.
 ROUNDS = (0, 1, 4, 8)
 #: Lanes, window and step size of each round; those of scoring.
-SHAPES, RATES, SCORE_SHAPE, CLIP = ((64, 16), (128, 32), (256, 32)), (0.03, 0.02, 0.01), (512, 64), 1.0
+SHAPES, RATES, SCORE_SHAPE, CLIP = ((128, 32), (128, 64), (256, 32)), (0.03, 0.02, 0.01), (256, 32), 1.0
 #: Tokens of a shard; of all training at least, by passing over a small corpus at most MOST_PASSES times; shards of a round at most.
-SHARD_TOKENS, LEAST_TOKENS, MOST_PASSES, MOST_SHARDS = 1 << 20, 1 << 22, 8, 1 << 14
+SHARD_TOKENS, LEAST_TOKENS, MOST_PASSES, MOST_SHARDS = 1 << 20, 1 << 22, 4, 1 << 14
 #: Results of shards that one task averages.
-FAN = 32
+FAN = 8
 #: How many times longer windows of few lanes are.
 LONGER = 8
 #: Tokens of a lane at least, in training, so that few documents still give many steps.
 LANE_TOKENS = 2048
 #: Tokens that a worker gathers before it runs the network; few, and a long document among them leaves most lanes idle.
 TRAIN_TOKENS, BATCH_TOKENS = 1 << 20, 1 << 21
-#: Words that a worker counts before it hands on their counts.
-COUNTED_WORDS = 1 << 18
 END = ""
 LN10 = math.log(10)
 
@@ -68,6 +68,31 @@ def split(text: str | None) -> list[bytes]:
     return ascii_lower((text or "").encode()).split()
 
 
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after the other, and how many each text has; as ``split`` gives them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.fill_null("")))
+    flat = lists.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)
+    number = np.bincount(np.asarray(pc.list_parent_indices(lists).filter(real)), minlength=len(column))
+    return flat.filter(real), number
+
+
+@lru_cache(2)
+def _tail_table(classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes by the last two bytes, the second in the lower half, and by the only byte."""
+    two = np.array([crc32(bytes(divmod(x, 256))) % classes for x in range(1 << 16)], np.int32)
+    return two, np.array([crc32(bytes([x])) % classes for x in range(256)], np.int32)
+
+
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """``tail_class`` of each word."""
+    two, one = _tail_table(TAIL_CLASSES)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8) if len(words) else np.zeros(0, np.uint8)
+    long, last = np.diff(ends) > 1, data[ends[1:] - 1].astype(np.int32)
+    return np.where(long, two[(data[ends[1:] - 2].astype(np.int32) << 8 | last) * long], one[last])
+
+
 def tail_class(word: bytes) -> int:
     """The class of a word that is not in the head, by its last two bytes."""
     return crc32(word[-2:]) % TAIL_CLASSES
@@ -94,6 +119,7 @@ class Vocabulary:
         self.of_word = np.array([i // HEAD_CLASS if i < self.head else self.groups + tail_class(w.encode()) for i, w in enumerate(words)], np.int32)
         self.tail_mass = np.array(tail_mass) + 0.5
         self.log_total = math.log10(n_tokens + 0.5 * (n_distinct + 1))
+        self.words = pa.array(words, pa.string())
         #: Network inputs: head words, tail classes, the start.
         self.start, self.inputs = self.head + TAIL_CLASSES, self.head + TAIL_CLASSES + 1
 
@@ -108,6 +134,23 @@ class Vocabulary:
         return found, symbol.astype(np.int32), rare
 
 
+    def of_texts(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+        """What ``symbols`` gives, of each text."""
+        words, number = words_of(column)
+        found = np.asarray(pc.index_in(words, value_set=self.words).fill_null(-1)).astype(np.int32)
+        symbol = np.where(found < self.head, found, self.head - self.groups + self.of_word[found])
+        unknown = np.flatnonzero(found < 0)
+        rare = words.take(pa.array(unknown))
+        symbol[unknown] = self.head + tail_classes(rare)
+        rare, ends = rare.to_pylist(), np.cumsum(number)
+        cuts = np.searchsorted(unknown, ends).tolist()
+        found, symbol = (np.insert(x, ends, np.int32(0)).astype(np.int32, copy=False) for x in (found, symbol))
+        ends, at, cut = (ends + np.arange(1, len(ends) + 1)).tolist(), 0, 0
+        for end, to in zip(ends, cuts, strict=True):
+            yield found[at:end], symbol[at:end], rare[cut:to]
+            at, cut = end, to
+
+
 def initial(v: Vocabulary) -> dict[str, np.ndarray]:
     """Parameters of a network that predicts single-word frequencies whatever came before."""
     rng = np.random.default_rng(5)
@@ -351,10 +394,10 @@ def log_likelihoods(p: dict, v: Vocabulary, docs: list[np.ndarray]) -> np.ndarra
 def _batched(batches, v: Vocabulary, text: str):
     """Groups of rows of about BATCH_TOKENS tokens: the batch's slice, and (indexes, symbols, rare words) of each row."""
     for batch in batches:
-        column, start, held, size = batch.column(text), 0, [], 0
-        for i in range(batch.num_rows):
-            held.append(v.symbols(split(column[i].as_py())))
-            size += len(held[-1][0])
+        start, held, size = 0, [], 0
+        for i, row in enumerate(v.of_texts(batch.column(text))):
+            held.append(row)
+            size += len(row[0])
             if size >= BATCH_TOKENS or i == batch.num_rows - 1:
                 yield batch.slice(start, i + 1 - start), held
                 start, held, size = i + 1, [], 0
@@ -364,20 +407,11 @@ def count_words(train: DataFrame) -> DataFrame:
     """``word``, ``c``: how often each word stands in the training texts; the empty word is the end."""
 
     def run(batches):
-        def out(counts):
-            words = [w.decode() for w in counts]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
-
-        counts: Counter = Counter()
         for batch in batches:
-            for x in batch.column(0):
-                counts.update(split(x.as_py()))
-                counts[b""] += 1
-                if len(counts) > COUNTED_WORDS:
-                    yield out(counts)
-                    counts.clear()
-        if counts:
-            yield out(counts)
+            if batch.num_rows:
+                found = words_of(batch.column(0))[0].value_counts()
+                words = pa.concat_arrays([found.field(0), pa.array([END], pa.string())])
+                yield pa.RecordBatch.from_arrays([words, pa.concat_arrays([found.field(1), pa.array([batch.num_rows], pa.int64())])], names=["word", "c"])
 
     return train.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -418,6 +452,13 @@ def _average(rows: list[tuple[int, int, bytes]]) -> tuple[int, np.ndarray]:
     return sum(n for _, n, _ in rows), total
 
 
+def _partition_keys(spark: SparkSession, n: int) -> Column:
+    """A constant array of n keys that a repartition by key into n deals to a partition each."""
+    ids = spark.range(0, 40 * n + 200, numPartitions=1)
+    held = {r["part"]: r["key"] for r in ids.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("part")).agg(F.min("id").alias("key")).collect()}
+    return F.split(F.lit(",".join(str(held.get(k, -1 - k)) for k in range(n))), ",").cast("array<bigint>")
+
+
 def train_round(docs: DataFrame, v: Vocabulary, p: dict[str, np.ndarray], shards: int, shape: tuple[int, int], rate: float, passes: int) -> dict[str, np.ndarray]:
     """Parameters after every shard of ``docs`` (shard, place, text) has trained ``p`` and the results are averaged."""
     names, shapes, shared = sorted(p), {k: x.shape for k, x in p.items()}, docs.sparkSession.sparkContext.broadcast((p, v))
@@ -431,13 +472,13 @@ def train_round(docs: DataFrame, v: Vocabulary, p: dict[str, np.ndarray], shards
 
         own, at, held, size = None, None, [], 0
         for batch in batches:
-            for shard, text in zip(batch.column("shard").to_pylist(), batch.column("text"), strict=True):
+            for shard, (_, symbol, _) in zip(batch.column("shard").to_pylist(), v.of_texts(batch.column("text")), strict=True):
                 if shard != at:
                     if own is not None:
                         own.learn(held, passes)
                         yield done(own, at)
                     own, at, held, size = Trainer(p, v, shape, rate), shard, [], 0
-                held.append(v.symbols(split(text.as_py()))[1])
+                held.append(symbol)
                 size += len(held[-1])
                 if size >= TRAIN_TOKENS:
                     own.learn(held, passes)
@@ -452,7 +493,8 @@ def train_round(docs: DataFrame, v: Vocabulary, p: dict[str, np.ndarray], shards
 
     kind = "name string, shard long, tokens long, total binary"
     added = pa.schema([("name", pa.string()), ("shard", pa.int64()), ("tokens", pa.int64()), ("total", pa.binary())])
-    sums = docs.repartition(shards, "shard").sortWithinPartitions("shard", "place").select("shard", "text").mapInArrow(run, kind)
+    dealt = docs.withColumn("key", F.element_at(_partition_keys(docs.sparkSession, shards), (F.col("shard") + 1).cast("int")))
+    sums = dealt.repartition(shards, "key").sortWithinPartitions("shard", "place").select("shard", "text").mapInArrow(run, kind)
     while shards > FAN:
         shards = -(-shards // FAN)
         sums = sums.withColumn("up", F.floor(F.col("shard") / FAN)).groupBy("name", "up").applyInArrow(add, kind)
@@ -492,7 +534,7 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, p: dict[str, np.nda
                 known.append(int((v.count[common] > 0).sum()))
                 base.append(float(v.log_count[common].sum()))
                 full.append(x + float(v.log_count[common[common >= v.head]].sum()) - float(inside[tail].sum()))
-                rare.append([{"word": w.decode(), "n": k} for w, k in Counter(words).items()])
+                rare.append([{"word": w, "n": k} for w, k in Counter(words).items()])
             kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), *(pa.array(c, t) for c, t in ((n, pa.int64()), (known, pa.int64()), (base, pa.float64()), (full, pa.float64()), (rare, kind)))],

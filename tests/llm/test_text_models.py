@@ -169,6 +169,18 @@ def test_next_symbol_probabilities_sum_to_one(monkeypatch):
     assert np.exp(log_p).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_symbols_of_texts_equal_those_of_words():
+    import pyarrow as pa
+
+    texts = [*ODD, "a\x0bB\x0cc\td\re\x1cf\x85g\u00a0h ", " lead", "É é É", "\x00 \x1f x", "q" * 300, "", None, *random_texts(9)]
+    v = vocabulary_of([t for t in texts[::2] if t])
+    column = pa.array(["cut off", *texts], pa.string()).slice(1)
+    for t, (found, symbol, rare) in zip(texts, v.of_texts(column), strict=True):
+        a, b, c = v.symbols(gru_lm.split(t))
+        assert found.tolist() == a.tolist() and symbol.tolist() == b.tolist() and [w.encode() for w in rare] == c
+    assert list(v.of_texts(pa.array([], pa.string()))) == []
+
+
 def test_a_document_scores_alike_alone_and_among_others():
     texts = ["a b c " * n for n in (1, 70, 3, 200, 0)]
     v = vocabulary_of(texts)
@@ -243,6 +255,14 @@ def test_scores_do_not_depend_on_partitions_and_equal_a_naive_pass(spark, monkey
         assert runs[0][i] == pytest.approx(naive_score(p, v, texts[i], counts), rel=1e-3)
 
 
+@pytest.mark.parametrize("n", [1, 7, 50])
+def test_every_shard_has_a_partition(spark, n):
+    rows = spark.range(20 * n).select((F.col("id") % n).alias("shard"))
+    dealt = rows.withColumn("key", F.element_at(gru_lm._partition_keys(spark, n), (F.col("shard") + 1).cast("int"))).repartition(n, "key")
+    held = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.count_distinct("shard").alias("shards")).collect()
+    assert len(held) == n and all(r["shards"] == 1 for r in held)
+
+
 def test_long_texts_and_words_and_clashing_columns(spark, monkeypatch):
     monkeypatch.setattr(gru_lm, "COMMON_BYTES", 4000)
     word = "long" * 100
