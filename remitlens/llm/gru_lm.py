@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from remitlens.llm.common import ascii_lower, cut, importable
 
 #: Words of the head, at least and at most; words of a class of the head; classes of other words; units of the state.
-HEAD, HEAD_CLASS, TAIL_CLASSES, HIDDEN = (1024, 1 << 14), 64, 32, 16
+HEAD, HEAD_CLASS, TAIL_CLASSES, HIDDEN = (1024, 1 << 12), 64, 32, 16
 COMMON, COMMON_BYTES, COUNT_BUCKETS = 1 << 17, 1 << 24, 8
 #: Of eight parts of the training documents, the first part that each round takes.
 ROUNDS = (0, 1, 4, 8)
